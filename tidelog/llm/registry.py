@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 ORACLES = {
