@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash
+from . import packing, quality, simhash, substring
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op6_substring_dedup": substring.op6_substring_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
