@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, substring
+from . import langid, packing, quality, simhash, substring
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_quality_rules": quality.op2_quality_rules,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
