@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, simhash, substring
+from . import audio, langid, packing, quality, simhash, substring
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_audio_columns": audio.op3_audio_columns,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
