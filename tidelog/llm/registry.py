@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat, langid, packing, quality, simhash, substring, urls
+from . import audio, chat, langid, mixing, packing, quality, simhash, substring, urls
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_url_filters": urls.op7_url_filters,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_target_mixing": mixing.op10_target_mixing,
 }
 
 ORACLES = {
