@@ -9,8 +9,10 @@ total only, so a step is one distributed sum over a small table of tokens and
 posteriors, and a document's rate follows from its own posterior and the few
 totals of the steps before. No document's state is shuffled or kept.
 
-Targets are shares of tokens. Their total is the largest at which no domain
-needs more tokens than it has, so rates are about 1 at most.
+Targets are shares of tokens; the domain with the largest share is to keep all
+its tokens, and the others follow. Rates stay between 0 and `most`, 1 unless
+told otherwise: sampling that repeats no document. A domain that has fewer
+tokens than its share then stays short of it, as near as it can be.
 
 `copies` turns a rate into whole copies by a hash of doc_id: the whole part, and
 one more with the probability of the rest.
@@ -36,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, slices, table, text_bytes
 
@@ -51,6 +54,8 @@ RIDGE = 1e-4
 STEPS = 60
 #: Weight of keeping rates near 1 against meeting the targets.
 NEAR_ONE = 0.005
+#: No document is taken more often than this: 1 samples without repeating any.
+MOST = 1.0
 
 _STRIP = bytes(x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 _CLASSES = [bytes(c for c in range(256) if c not in keep) for keep in (range(65, 91), range(48, 58), b"#*$%&|<>@{}[]", b"!?", b".,;:", range(128, 256), b"\n")]
@@ -171,7 +176,7 @@ def posteriors(docs: DataFrame, classifier: Classifier | None, targets: np.ndarr
     return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, n_tokens long, posterior array<double>")
 
 
-def rates(p: np.ndarray, pulls: list[np.ndarray], near_one: float = NEAR_ONE) -> tuple[np.ndarray, np.ndarray]:
+def rates(p: np.ndarray, pulls: list[np.ndarray], near_one: float = NEAR_ONE, most: float = MOST) -> tuple[np.ndarray, np.ndarray]:
     """Rates after the steps so far, and the extrapolated rates at which the next pull is taken.
 
     pulls: of each step, how far each domain's total was above its target, as a
@@ -180,8 +185,8 @@ def rates(p: np.ndarray, pulls: list[np.ndarray], near_one: float = NEAR_ONE) ->
     now = ahead = np.ones(len(p))
     step = 1 / (1 + near_one)
     for t, pull in enumerate(pulls):
-        new = np.maximum(0, ahead - step * (p @ pull + near_one * (ahead - 1)))
-        now, ahead = new, np.maximum(0, new + t / (t + 3) * (new - now))
+        new = np.clip(ahead - step * (p @ pull + near_one * (ahead - 1)), 0, most)
+        now, ahead = new, np.clip(new + t / (t + 3) * (new - now), 0, most)
     return now, ahead
 
 
@@ -189,7 +194,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
 
-def fit_rates(known: DataFrame, targets: np.ndarray, steps: int = STEPS, near_one: float = NEAR_ONE) -> list[np.ndarray]:
+def fit_rates(known: DataFrame, targets: np.ndarray, steps: int = STEPS, near_one: float = NEAR_ONE, most: float = MOST) -> list[np.ndarray]:
     """The pulls of all steps; known has n_tokens and posterior and was cut before."""
     width = len(targets)
 
@@ -198,7 +203,7 @@ def fit_rates(known: DataFrame, targets: np.ndarray, steps: int = STEPS, near_on
             total = np.zeros(width)
             for batch in batches:
                 p, n = _matrix(batch.column("posterior"), width), np.asarray(batch.column("n_tokens"), dtype=np.float64)
-                total += (rates(p, pulls, near_one)[1] * n) @ p
+                total += (rates(p, pulls, near_one, most)[1] * n) @ p
             yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(total)], ["domain", "n"])
 
         found = known.select("n_tokens", "posterior").mapInArrow(add, "domain int, n double").groupBy("domain").agg(F.sum("n").alias("n")).collect()
@@ -211,26 +216,26 @@ def fit_rates(known: DataFrame, targets: np.ndarray, steps: int = STEPS, near_on
     everything = have.sum()
     if not everything:
         return []
-    asked = targets > 0
-    want = targets * (have[asked] / targets[asked]).min()
+    lead = int(targets.argmax())
+    want = targets * have[lead] / targets[lead]
     pulls: list[np.ndarray] = [(have - want) / everything]
     while len(pulls) < steps:
         pulls.append((totals(pulls) - want) / everything)
     return pulls
 
 
-def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], steps: int = STEPS, near_one: float = NEAR_ONE) -> DataFrame:
+def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], steps: int = STEPS, near_one: float = NEAR_ONE, most: float = MOST) -> DataFrame:
     """doc_id, n_tokens, posterior, rate and copies of every row of docs."""
     domains = tuple(targets)
     goal = np.array([targets[d] for d in domains], dtype=np.float64)
     goal /= goal.sum()
     known = cut(posteriors(docs, fit_classifier(docs, labelled, domains), goal))
-    pulls = fit_rates(known, goal, steps, near_one)
+    pulls = fit_rates(known, goal, steps, near_one, most)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = rates(_matrix(batch.column("posterior"), len(goal)), pulls, near_one)[0]
+                found = rates(_matrix(batch.column("posterior"), len(goal)), pulls, near_one, most)[0]
                 yield batch.append_column("rate", pa.array(found))
 
     kinds = ", ".join(f"{n} {t}" for n, t in known.dtypes)
@@ -249,22 +254,22 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).filter("domain is not null")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, most: float = MOST) -> DataFrame:
     """The rows of docs, all their columns, each as many times as its copies say."""
     goal = targets or TARGETS
     domains = tuple(goal)
     weight = np.array([goal[d] for d in domains], dtype=np.float64)
     weight /= weight.sum()
     classifier = fit_classifier(docs, labelled, domains)
-    pulls = fit_rates(cut(posteriors(docs, classifier, weight)), weight)
+    pulls = fit_rates(cut(posteriors(docs, classifier, weight)), weight, most=most)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             texts = list(text_bytes(batch.column("text")))
             p = np.tile(weight, (len(texts), 1)) if classifier is None else classifier.posteriors(texts)[1]
-            yield batch.append_column("_rate", pa.array(rates(p, pulls)[0]))
+            yield batch.append_column("_rate", pa.array(rates(p, pulls, most=most)[0]))
 
-    rated = docs.mapInArrow(rate, docs.schema.add("_rate", "double"))
+    rated = docs.mapInArrow(rate, T.StructType([*docs.schema.fields, T.StructField("_rate", T.DoubleType())]))
     times = copies(F.col("doc_id"), F.col("_rate"))
     return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
