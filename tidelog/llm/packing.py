@@ -29,6 +29,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ END_ID = 1
 OPEN_BINS = 4096
 SHARD_BYTES = 24 << 20
 #: Words whose ids a worker remembers at once; only speed depends on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: ASCII punctuation that the tokeniser always separates from a letter before it.
 TAIL = b".,;:!?)|"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
@@ -61,11 +62,30 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.cache: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_unit = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_unit[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words of letters only are one unit each to the tokeniser, so many are encoded as one line."""
+        letters, other = [], []
+        for w in words:
+            (letters if w.decode().isalpha() else other).append(w)
+        for at in range(0, len(letters), 1000):
+            part = letters[at : at + 1000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_unit[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):  # this tokeniser sees other letters than Python, or marks no ends
+                other += part
+                continue
+            ids, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+            yield from zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True)
+        yield from zip(other, self._encode(other), strict=True)
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cache, split = self.cache, [None if b"<|" in x else x.lower().split() for x in texts]
@@ -75,7 +95,7 @@ class WordTokenizer:
             missing = set().union(*(x for x in split if x is not None))
         tails = {w for w in missing if len(w) > 1 and w[-1] in TAIL and w[-2] in _LETTERS}
         todo = list((missing - tails).union({w[:-1] for w in tails}, {w[-1:] for w in tails}).difference(cache))
-        cache.update(zip(todo, self._encode(todo), strict=True))
+        cache.update(self._encode_words(todo))
         for w in tails:
             cache[w] = cache[w[:-1]] + cache[w[-1:]]
         whole = iter(self._encode([x for x, words in zip(texts, split, strict=True) if words is None]))
@@ -152,7 +172,7 @@ def pack(pieces: DataFrame, shards: int, capacity: int = CAPACITY, open_bins: in
 
     def shard_bins(key: tuple, group: pa.Table) -> pa.Table:
         length, doc = group.column("length").to_numpy(), group.column("doc_id")
-        group = group.take(pa.compute.sort_indices(group, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])) if len(doc) else group
+        group = group.take(pc.sort_indices(group, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])) if len(doc) else group
         bins, offsets = best_fit(np.sort(length)[::-1].tolist(), capacity, open_bins)
         first = key[0].as_py() << 32
         return group.drop_columns("_shard").append_column("sequence_id", pa.array(np.asarray(bins, dtype=np.int64) + first)).append_column("offset", pa.array(offsets, pa.int64()))
