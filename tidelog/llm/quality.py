@@ -94,9 +94,11 @@ def host_verdicts(stats: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> Dat
 
 def beta_prior(n: int, failed: int, hosts: int, failed_times_rate: float) -> tuple[float, float]:
     """alpha and beta by moments from totals over hosts (failed_times_rate: sum of failed * failed / docs)."""
-    m = failed / n if n else 0.5
+    if not n:
+        return 1.0, 1.0
+    m = failed / n
     if not 0 < m < 1:
-        return (1.0, 1.0) if not n else (max(m, 0.01), max(1 - m, 0.01))
+        return max(m, 0.01), max(1 - m, 0.01)
     spread = failed_times_rate / n - m * m  # document-weighted variance of the hosts' rates
     between = spread - m * (1 - m) * (hosts - 1) / n
     strength = 10_000.0 if between <= 0 else min(10_000.0, max(1.0, m * (1 - m) / between - 1))
