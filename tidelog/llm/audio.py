@@ -9,7 +9,8 @@ those bytes:
 * polyphase resampling by 2/3 with a windowed-sinc low-pass,
 * log-mel energies of Hann frames of 256 samples that overlap by half,
 * segments of sound by hysteresis: a segment begins at a frame whose energy is
-  1 dB above the median and ends before the first frame below the median.
+  1 dB above the median and ends before the first frame that is not half a dB
+  above it.
 
 A text is handled by itself, in blocks, so equal texts give equal values in any
 company and memory is a few times one text's size.
@@ -41,7 +42,7 @@ UP, DOWN = 2, 3
 TAPS = 14
 WINDOW, HOP = 256, 128
 MELS = 20
-ON_DB, OFF_DB = 1.0, 0.0
+ON_DB, OFF_DB = 1.0, 0.5
 BLOCK_FRAMES = 4096
 
 
