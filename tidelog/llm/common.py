@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Joins a right side that was cut before: broadcast if its row count is small, else shuffled (AQE splits hot keys)."""
     small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -50,7 +59,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0), dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0
