@@ -51,3 +51,12 @@ def unframe(value: Column) -> Column:
     good = (F.length(text) >= 12) & F.startswith(text, F.lit("00")) & (F.substring(text, 11, 2) == "00")
     error = F.when(F.coalesce(~good, F.lit(True)), "bad frame")
     return F.struct(F.when(good, F.conv(F.substring(text, 3, 8), 16, 10).cast("int")).alias("schema_id"), F.when(good, F.unhex(F.substr(text, F.lit(13)))).alias("body"), error.alias("error"))
+
+
+def new_id(time: Column, key: Column) -> Column:
+    """A version 7 UUID: milliseconds of time first, so ids sort by it; the rest is a hash of key, so a repeated task gives the same id."""
+    stamp = F.lpad(F.hex(F.unix_millis(time.cast("timestamp"))), 12, "0")
+    rest = F.sha2(F.encode(key, "UTF-8"), 256)
+    variant = F.substring(F.lit("89ab"), 1, 4)
+    turn = (F.conv(F.substring(rest, 4, 1), 16, 10).cast("int") % 4) + 1
+    return F.lower(F.concat_ws("-", F.substring(stamp, 1, 8), F.substring(stamp, 9, 4), F.concat(F.lit("7"), F.substring(rest, 1, 3)), F.concat(F.substr(variant, turn, F.lit(1)), F.substring(rest, 5, 3)), F.substring(rest, 8, 12)))

@@ -42,3 +42,17 @@ def reject_batches(marked: DataFrame, batch: str) -> DataFrame:
     """Whole batches with a conflict are refused: accepted rows only."""
     bad = marked.filter("conflict").select(batch).distinct()
     return marked.join(bad, batch, "left_anti")
+
+
+def append(log: DataFrame, batches: DataFrame, batch: str = "batch_id") -> tuple[DataFrame, DataFrame]:
+    """Accepted rows and refused batches.
+
+    batches: batch_id (unique, in order of arrival), stream_id, expected_version
+    and events (an array of structs). A batch is refused whole if any of its
+    versions is taken; an empty batch changes nothing; a gap is let through.
+    Batches of one stream that expect the same version race: the first wins.
+    """
+    rows = batches.select(batch, "stream_id", "expected_version", F.posexplode("events").alias("at", "event")).withColumn("version", (F.col("expected_version") + F.col("at") + 1).cast("int"))
+    marked = detect_conflicts(rows, [F.col(batch)], heads(log))
+    refused = marked.filter("conflict").select(batch).distinct()
+    return marked.join(refused, batch, "left_anti").drop("conflict", "at", "expected_version"), refused

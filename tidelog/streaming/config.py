@@ -1,0 +1,25 @@
+"""Options of the streaming queries, with the defaults that the model was designed for."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class ConsumerConfig:
+    group: str
+    topics: tuple[str, ...]
+    max_attempts: int = 5
+    base_backoff_ms: int = 100
+    poll_records: int = 100
+    partitions: int = 6
+    dead_letters: bool = True
+
+
+@dataclass(frozen=True)
+class QueueConfig:
+    batch: int = 100
+    retention_days: int = 7
+    prune_every_hours: int = 1
+    sleep_floor_ms: int = 5
+    sleep_ceiling_ms: int = 1000

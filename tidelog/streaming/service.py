@@ -9,7 +9,7 @@ tagged by kind: event, reply or timer.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.decide import Machine, Seat
 from ..operators.projection import guarded_upsert
 
-_KINDS = {"string": T.StringType(), "timestamp": T.TimestampType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+_KINDS = {"string": T.StringType(), "timestamp": T.TimestampType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "long": T.LongType()}
 
 
 def _struct(columns: str) -> T.StructType:
@@ -28,12 +28,28 @@ def _struct(columns: str) -> T.StructType:
 
 
 OUT = _struct("stream_id string, ce_id string, kind string, type string, hold_id string, booking_id string, reason string, expires_at timestamp, version int, correlation_id string, causation_id string")
-_STATE = _struct("version int, held boolean, hold_id string, booking_id string, expires_at timestamp, correlation_id string")
-_TIMER = _struct("fire_at timestamp, token string")
+_STATE = _struct("version int, held boolean, hold_id string, booking_id string, expires_us long, correlation_id string")
+_TIMER = _struct("fire_us long, token string")
 _SEEN = _struct("source string, ce_id string")
 _AT = _struct("seen_at timestamp")
 
 
+_EPOCH = datetime(1970, 1, 1)
+
+
+def _naive(time: datetime | None) -> datetime | None:
+    """UTC without a zone, whichever form the worker was given."""
+    return time.astimezone(timezone.utc).replace(tzinfo=None) if time is not None and time.tzinfo is not None else time
+
+
+def _micros(time: datetime | None) -> int | None:
+    return None if time is None else (time - _EPOCH) // timedelta(microseconds=1)
+
+
+def _time(micros: int | None) -> datetime | None:
+    return None if micros is None else _EPOCH + timedelta(microseconds=micros)
+
+
 class SeatProcessor(StatefulProcessor):
     """Commands in, events and replies out, for one stream."""
 
@@ -45,15 +61,15 @@ class SeatProcessor(StatefulProcessor):
 
     def _machine(self) -> tuple[Machine, str]:
         value = self.state.get() if self.state.exists() else (0, False, "", "", None, "")
-        pending = sorted((t[0], t[1]) for t in self.timers.get()) if self.timers.exists() else []
-        return Machine(Seat(value[0], value[2], value[3], value[4], pending), held=value[1]), value[5]
+        pending = sorted((_time(t[0]), t[1]) for t in self.timers.get()) if self.timers.exists() else []
+        return Machine(Seat(value[0], value[2], value[3], _time(value[4]), pending), held=value[1]), value[5]
 
     def _save(self, machine: Machine, correlation: str) -> None:
         seat = machine.seat
-        self.state.update((seat.version, machine.held, seat.hold, seat.booking, seat.deadline, correlation))
+        self.state.update((seat.version, machine.held, seat.hold, seat.booking, _micros(seat.deadline), correlation))
         self.timers.clear()
-        for timer in seat.timers:
-            self.timers.appendValue(timer)
+        for fire_at, token in seat.timers:
+            self.timers.appendValue((_micros(fire_at), token))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         machine, correlation = self._machine()
@@ -61,23 +77,22 @@ class SeatProcessor(StatefulProcessor):
             if self.seen.containsKey((r.source, r.ce_id)):
                 continue
             self.seen.updateValue((r.source, r.ce_id), (r.ts,))
-            for _, *out in machine.due(r.ts):  # deadlines that this batch has passed come first
+            for _, *out in machine.due(_naive(r.ts)):  # deadlines that this batch has passed come first
                 yield self._row(key[0], out, machine.seat.version, correlation, "")
             before = len(machine.seat.timers)
-            out = machine.apply(r.command, r.hold_id, r.booking_id, r.reason, r.expires_at)
+            out = machine.apply(r.command, r.hold_id, r.booking_id, r.reason, _naive(r.expires_at))
             if out is None:
                 continue
             if out[0] == "event":
                 correlation = r.correlation_id
             if len(machine.seat.timers) > before:
-                fire_at = (r.expires_at or datetime(1970, 1, 1)).replace(tzinfo=timezone.utc)
-                self.handle.registerTimer(int(fire_at.timestamp() * 1000))
+                self.handle.registerTimer(_micros(_naive(r.expires_at) or _EPOCH) // 1000)
             yield self._row(key[0], out, machine.seat.version, r.correlation_id, r.ce_id)
         self._save(machine, correlation)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         machine, correlation = self._machine()
-        now = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, timezone.utc).replace(tzinfo=None)
+        now = _time((expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000 - 1)
         for _, *out in machine.due(now):
             yield self._row(key[0], out, machine.seat.version, correlation, "")
         self._save(machine, correlation)
