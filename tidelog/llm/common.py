@@ -15,7 +15,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+#: Rows that go to a Python worker at once, so that a batch of long texts stays small.
+BATCH_ROWS = "1000"
+
+
+def lean(spark: SparkSession) -> None:
+    """Bounds Arrow batches, unless the session has a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by reliable files in the shared folder."""
+    lean(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -70,6 +83,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[
 
 def block_count(docs: DataFrame, text: str, block_bytes: int) -> int:
     """Blocks needed so that one holds about block_bytes of text: a scan that returns one row."""
+    lean(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text) + 64).alias("n")).first()["n"] or 0
     return max(1, -(-int(total) // block_bytes))
 

@@ -70,7 +70,7 @@ class WordTokenizer:
         found = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def _encode_words(self, words: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Words of letters only are one unit each to the tokeniser, so many are encoded as one line."""
         letters, other = [], []
         for w in words:
@@ -89,17 +89,17 @@ class WordTokenizer:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cache, split = self.cache, [None if b"<|" in x else x.lower().split() for x in texts]
-        missing = set().union(*(x for x in split if x is not None)).difference(cache)
+        distinct = set().union(*(x for x in split if x is not None))
+        tails = {w for w in distinct if len(w) > 1 and w[-1] in TAIL and w[-2] in _LETTERS}
+        plain = (distinct - tails).union({w[:-1] for w in tails}, {w[-1:] for w in tails})
+        missing = plain.difference(cache)
         if len(cache) + len(missing) > CACHE_WORDS:
             cache.clear()
-            missing = set().union(*(x for x in split if x is not None))
-        tails = {w for w in missing if len(w) > 1 and w[-1] in TAIL and w[-2] in _LETTERS}
-        todo = list((missing - tails).union({w[:-1] for w in tails}, {w[-1:] for w in tails}).difference(cache))
-        cache.update(self._encode_words(todo))
-        for w in tails:
-            cache[w] = cache[w[:-1]] + cache[w[-1:]]
+            missing = plain
+        cache.update(self._encode_words(missing))
+        ids = {w: cache[w] for w in distinct - tails} | {w: cache[w[:-1]] + cache[w[-1:]] for w in tails}
         whole = iter(self._encode([x for x, words in zip(texts, split, strict=True) if words is None]))
-        get = cache.__getitem__
+        get = ids.__getitem__
         return [next(whole) if words is None else b"".join(map(get, words)) for words in split]
 
 

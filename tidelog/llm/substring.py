@@ -49,7 +49,8 @@ WINDOW = 13
 SHORT = 4
 SLOT_BITS = 13
 GROUP_SUFFIXES = 1 << 20
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
+HASH_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
@@ -84,6 +85,23 @@ class _Rolling:
         return _mix((self.total[end] - self.total[first]) * self.down[first])
 
 
+def word_hashes(texts: list[bytes], most: int = HASH_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word and its text's number; works on `most` bytes at a time, one text at least."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    ends, hashes, docs = np.cumsum(size), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(texts):
+        done = ends[at] - size[at]
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        raw = np.frombuffer(b"\n".join(texts[at:stop]), np.uint8)
+        edge = np.flatnonzero(np.diff((~_SPACE[raw]).view(np.int8), prepend=0, append=0))
+        first, end = edge[::2], edge[1::2]
+        hashes.append(_Rolling(raw.astype(np.uint64) + np.uint64(1), _ODD[0])(first, end))
+        docs.append(at + np.searchsorted(ends[at:stop] - done, first, "right"))
+        at = stop
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
 class Suffixes:
     """The words of some texts, and the suffixes that are at least a window long.
 
@@ -93,15 +111,8 @@ class Suffixes:
     """
 
     def __init__(self, texts: list[bytes], window: int = WINDOW):
-        joined = b"\n".join(texts)
-        raw = np.frombuffer(joined, np.uint8)
-        inside = ~_SPACE[raw]
-        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
-        first, end = edge[::2], edge[1::2]
-        text_end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        self.word_doc = np.searchsorted(text_end, first, "right")
-        words = _Rolling(raw.astype(np.uint64) + np.uint64(1), _ODD[0])(first, end)
-        n = max(0, len(first) - window + 1)
+        words, self.word_doc = word_hashes(texts)
+        n = max(0, len(words) - window + 1)
         self.at = np.flatnonzero(self.word_doc[:n] == self.word_doc[window - 1 :][:n])
         self.doc = self.word_doc[self.at]
         ranges = _Rolling(words, _ODD[1])
