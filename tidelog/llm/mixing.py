@@ -25,7 +25,8 @@ posteriors, totals and rates cover every whole document.
 Defined cases: a null or empty text has no tokens and the posterior that its
 style gives; a null doc_id has copies by rate rounded; without a labelled
 document every posterior is the target itself; labels with a null are not used;
-of several labels of one document all count; an empty table gives no rows.
+different labels of one document all count, once each; of rows with one doc_id
+the classifier learns from one; an empty table gives no rows.
 Other columns than doc_id and text are carried along by `mix` alone.
 """
 
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, table, text_bytes
+from .common import cut, fresh, slices, table, text_bytes
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of tokens that the mixture should have.
@@ -100,11 +101,12 @@ class Classifier:
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Classifier | None:
     """From labelled (doc_id, domain). None if no labelled document is found."""
-    rows = labelled.filter(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain")
+    rows = labelled.filter(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain").distinct()
     count = rows.count()
     share = min(1.0, sample / max(1, count))
     few = cut(rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))
-    chosen = cut(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(few), "doc_id"))  # `sample` rows, about
+    met = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(few), "doc_id")  # `sample` rows, about
+    chosen = cut(met.groupBy("doc_id", "domain").agg(F.min("text").alias("text")))  # however often a doc_id is repeated
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -197,6 +199,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def fit_rates(known: DataFrame, targets: np.ndarray, steps: int = STEPS, near_one: float = NEAR_ONE, most: float = MOST) -> list[np.ndarray]:
     """The pulls of all steps; known has n_tokens and posterior and was cut before."""
     width = len(targets)
+    names = [f"d{i}" for i in range(width)]
+    small = known.select("n_tokens", "posterior").coalesce(known.sparkSession.sparkContext.defaultParallelism)  # a few numbers a document
 
     def totals(pulls: list[np.ndarray]) -> np.ndarray:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +208,10 @@ def fit_rates(known: DataFrame, targets: np.ndarray, steps: int = STEPS, near_on
             for batch in batches:
                 p, n = _matrix(batch.column("posterior"), width), np.asarray(batch.column("n_tokens"), dtype=np.float64)
                 total += (rates(p, pulls, near_one, most)[1] * n) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(total)], ["domain", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names)
 
-        found = known.select("n_tokens", "posterior").mapInArrow(add, "domain int, n double").groupBy("domain").agg(F.sum("n").alias("n")).collect()
-        out = np.zeros(width)
-        for r in found:
-            out[r["domain"]] = r["n"]
-        return out
+        found = small.mapInArrow(add, ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n) for n in names]).first()
+        return np.array([x or 0.0 for x in found])
 
     have = totals([])
     everything = have.sum()
@@ -267,11 +268,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
         for batch in slices(batches, "text", 1 << 20):
             texts = list(text_bytes(batch.column("text")))
             p = np.tile(weight, (len(texts), 1)) if classifier is None else classifier.posteriors(texts)[1]
-            yield batch.append_column("_rate", pa.array(rates(p, pulls, most=most)[0]))
+            yield batch.append_column(name, pa.array(rates(p, pulls, most=most)[0]))
 
-    rated = docs.mapInArrow(rate, T.StructType([*docs.schema.fields, T.StructField("_rate", T.DoubleType())]))
-    times = copies(F.col("doc_id"), F.col("_rate"))
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    name = fresh(docs, "rate")
+    rated = docs.mapInArrow(rate, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    times = F.array_repeat(F.lit(0), copies(F.col("doc_id"), F.col(name)))
+    return rated.withColumn(name, F.explode(times)).select(*docs.columns)
 
 
 def op10_target_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
