@@ -107,6 +107,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, clusters: int = CL
     each = max(1, sample // len(count))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, each / n)]), F.col("lang"))
     chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # however often a doc_id is repeated
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
