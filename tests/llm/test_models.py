@@ -96,7 +96,7 @@ def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 1000, 256)
     code = lm.Code(counts)
-    tables = [rng.integers(0, 256, 1 << lm.CELL_BITS).astype(np.uint8) for _ in range(lm.INPUTS)]
+    tables = [rng.integers(-127, 128, 1 << lm.CELL_BITS).astype(np.int8) for _ in range(lm.INPUTS)]
     model = lm.tune(tables, counts, [b"the end of the thing " * 20])
     prefix = b"some text "
     total = 0.0
