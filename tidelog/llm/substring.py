@@ -268,7 +268,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_suffixes: int =
     count = block_count(docs, "text", block_bytes)
     dealt = docs.select(*carried).withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("long"))
     dealt = dealt.repartition(min(count, 20_000), "_block")
-    leaves = dealt.select("_block", "doc_id", "text").groupBy("_block").applyInArrow(lambda rows: _leaves(rows, prefixes, window), "grp long, block long, paths binary, words binary, docs binary, counts binary")
+    # all columns here too, so that both uses of dealt share one shuffle
+    leaves = dealt.groupBy("_block").applyInArrow(lambda rows: _leaves(rows, prefixes, window), "grp long, block long, paths binary, words binary, docs binary, counts binary")
     found = leaves.groupBy("grp").applyInArrow(_resolve, "block long, found binary")
     shown = [n for n in carried if with_text or n != "text"]
 
