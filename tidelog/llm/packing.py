@@ -42,7 +42,7 @@ END_ID = 1
 OPEN_BINS = 4096
 SHARD_BYTES = 24 << 20
 #: Words whose ids a worker remembers at once; only speed depends on it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: ASCII punctuation that the tokeniser always separates from a letter before it.
 TAIL = b".,;:!?)|"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
