@@ -114,3 +114,50 @@ def test_lm_probabilities_sum_to_one():
 def test_lm_learns(spark):
     found = lm.op5_lm_scoring(spark, BIG).filter("held_out").agg(F.sum("score").alias("s"), F.avg("bits_per_byte").alias("b")).first()
     assert found.b < 3
+
+
+def test_lm_gate_tells_even_from_unseen():
+    code = lm.Code(np.zeros(256, np.int64))
+    chunk = next(lm.Texts(code, [b"some text"]).chunks())[1]
+    model = lm.tune([], np.zeros(256, np.int64), [])
+    unseen = [np.full(1 << lm.CELL_BITS, lm.UNSEEN, np.int8) for _ in range(lm.INPUTS)]
+    x, gate = model.inputs(unseen, chunk)
+    assert not x.any() and not gate.any()
+    for k in range(lm.INPUTS):
+        even = [np.zeros(1 << lm.CELL_BITS, np.int8) if i == k else t for i, t in enumerate(unseen)]
+        x, gate = model.inputs(even, chunk)
+        assert not x.any() and (gate == k + 1).all()
+
+
+def test_lm_falls_back_on_short_histories(spark):
+    """Of two texts without a known history of 3 bytes, the one whose pairs of bytes are known is likelier."""
+    known, unknown = "abcdefgh" * 8, "acegbdfh" * 8
+    pairs = "ab bc cd de ef fg gh ha " * 4
+    rows = [(i, pairs, None, None, None) for i in range(200)] + [(1000, known, None, None, None), (1001, unknown, None, None, None)]
+    found = {r.doc_id: r.bits_per_byte for r in lm.score_texts(table(spark, rows), F.col("doc_id") < 1000).filter("doc_id >= 1000").collect()}
+    assert found[1000] < 0.8 * found[1001]
+
+
+def test_lm_weights_adapt_gate_by_gate():
+    """What a text teaches one gate leaves the other gates' weights alone."""
+    rng = np.random.default_rng(0)
+    counts = np.zeros(256, np.int64)
+    code = lm.Code(counts)
+    text = bytes(rng.integers(97, 123, 3000).astype(np.uint8))
+    chunks = [c for _, c in lm.Texts(code, [text]).chunks()]
+    tables = [np.full(1 << lm.CELL_BITS, lm.UNSEEN, np.int8) for _ in range(lm.INPUTS)]
+    for c in chunks:
+        tables[0][c.cells(0)] = rng.integers(-40, 40, len(c.bit))
+        half = rng.random(len(c.bit)) < 0.5
+        tables[1][c.cells(1)[half]] = 32
+    model = lm.tune(tables, counts, [])
+    weights, want = np.repeat(model.weights[None], 1, axis=0)[0].astype(np.float64), 0.0
+    for c in chunks:
+        x, gate = model.inputs(tables, c)
+        odds = np.clip((weights[gate].T * x).sum(axis=0), -lm.LIMIT, lm.LIMIT).astype(np.float32)
+        sign = 2.0 * c.bit - 1
+        want -= np.log1p(np.exp(-sign * model.refined(odds, gate))).sum()
+        wrong = sign / (1 + np.exp(sign * odds))
+        for g in range(len(weights)):
+            weights[g] += lm.LEARN * (x[:, gate == g] @ wrong[gate == g]) / ((gate == g).sum() + lm.PRIOR_DECISIONS)
+    assert model.score(code, tables, [text])[0] == pytest.approx(want, rel=1e-4)
