@@ -161,3 +161,20 @@ def test_lm_weights_adapt_gate_by_gate():
         for g in range(len(weights)):
             weights[g] += lm.LEARN * (x[:, gate == g] @ wrong[gate == g]) / ((gate == g).sum() + lm.PRIOR_DECISIONS)
     assert model.score(code, tables, [text])[0] == pytest.approx(want, rel=1e-4)
+
+
+def mixture_of(spark, kinds):
+    """Documents (n_tokens, posterior) from (number, posterior) of each kind, with their posteriors, tokens and rates as fitted."""
+    rng = np.random.default_rng(0)
+    p = np.concatenate([np.tile(q, (n, 1)) for n, q in kinds]) + rng.uniform(0, 1e-4, (sum(n for n, _ in kinds), 3))
+    p /= p.sum(axis=1, keepdims=True)
+    n = rng.integers(50, 500, len(p))
+    known = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>").coalesce(1).cache()
+    return p, n, mixing.rates(p, mixing.fit_rates(known, np.array(list(mixing.TARGETS.values()))))[0]
+
+
+@pytest.mark.parametrize("toxic", [1, 10])
+def test_rare_toxic_documents_go(spark, toxic):
+    """1 or 10 of 1,000: 0.1 % and 1 %."""
+    _, _, r = mixture_of(spark, [(900 - toxic, (0.98, 0.02, 0)), (100, (0.05, 0.95, 0)), (toxic, (0.03, 0.05, 0.92))])
+    assert r[-toxic:].max() < 0.05 and r[: 900 - toxic].mean() > 0.97

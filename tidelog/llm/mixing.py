@@ -4,7 +4,8 @@ A classifier learned from a labelled table gives each document its posterior
 over domains. A nonnegative rate for each document is then fitted so that the
 expected tokens of each domain, sum(rate * tokens * posterior), come as near as
 possible to the targets in least squares, while rates stay near 1 (a weak
-ridge). The fit is accelerated projected gradient: one step needs each domain's
+ridge). A domain's residual counts relative to the tokens that it has, so that a
+rare domain is pulled to its target as hard as a common one. The fit is accelerated projected gradient: one step needs each domain's
 total only, so a step is one distributed sum over a small table of tokens and
 posteriors, and a document's rate follows from its own posterior and the few
 totals of the steps before. No document's state is shuffled or kept.
@@ -182,7 +183,8 @@ def rates(p: np.ndarray, pulls: list[np.ndarray], near_one: float = NEAR_ONE, mo
     """Rates after the steps so far, and the extrapolated rates at which the next pull is taken.
 
     pulls: of each step, how far each domain's total was above its target, as a
-    share of all tokens.
+    share of the tokens that the domain has at rate 1. So scaled, no step is
+    longer than 1 + near_one allows.
     """
     now = ahead = np.ones(len(p))
     step = 1 / (1 + near_one)
@@ -214,14 +216,14 @@ def fit_rates(known: DataFrame, targets: np.ndarray, steps: int = STEPS, near_on
         return np.array([x or 0.0 for x in found])
 
     have = totals([])
-    everything = have.sum()
-    if not everything:
+    if not have.sum():
         return []
     lead = int(targets.argmax())
     want = targets * have[lead] / targets[lead]
-    pulls: list[np.ndarray] = [(have - want) / everything]
+    mass = np.where(have > 0, have, np.inf)  # what no document belongs to pulls at none
+    pulls: list[np.ndarray] = [(have - want) / mass]
     while len(pulls) < steps:
-        pulls.append((totals(pulls) - want) / everything)
+        pulls.append((totals(pulls) - want) / mass)
     return pulls
 
 
