@@ -178,3 +178,18 @@ def test_rare_toxic_documents_go(spark, toxic):
     """1 or 10 of 1,000: 0.1 % and 1 %."""
     _, _, r = mixture_of(spark, [(900 - toxic, (0.98, 0.02, 0)), (100, (0.05, 0.95, 0)), (toxic, (0.03, 0.05, 0.92))])
     assert r[-toxic:].max() < 0.05 and r[: 900 - toxic].mean() > 0.97
+
+
+def test_targets_are_met_where_a_domain_is_short(spark):
+    p, n, r = mixture_of(spark, [(970, (0.98, 0.02, 0)), (30, (0.05, 0.95, 0))])
+    got = (r * n) @ p
+    assert np.abs(got / got.sum() - [0.9, 0.1, 0]).max() < 0.005 and r.min() >= 0 and r[:970].mean() > 0.97
+
+
+def test_mixture_of_a_table_meets_its_targets(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    labels = mixing.label_domains(spark.read.parquet(f"{BIG}/labels.parquet"))
+    poor = labels.filter("domain = 'poor' and doc_id % 8 <> 0").select("doc_id")
+    found = mixing.fit_mixture(docs.join(labels.select("doc_id"), "doc_id", "left_semi").join(poor, "doc_id", "left_anti"), labels, mixing.TARGETS)
+    got = {r.domain: (r.target, r.share) for r in mixing.shares(found, mixing.TARGETS).collect()}
+    assert set(got) == set(mixing.TARGETS) and all(abs(share - target) < 0.01 for target, share in got.values())

@@ -11,9 +11,10 @@ posteriors, and a document's rate follows from its own posterior and the few
 totals of the steps before. No document's state is shuffled or kept.
 
 Targets are shares of tokens; the domain with the largest share is to keep all
-its tokens, and the others follow. Rates stay between 0 and `most`, 1 unless
-told otherwise: sampling that repeats no document. A domain that has fewer
-tokens than its share then stays short of it, as near as it can be.
+its tokens, and the others follow. Rates are nonnegative; those of a domain that
+has fewer tokens than its share are above 1, so its documents are repeated. A
+`most` bounds rates where a caller would rather stay short of the targets.
+`shares` tells the expected shares beside the targets.
 
 `copies` turns a rate into whole copies by a hash of doc_id: the whole part, and
 one more with the probability of the rest.
@@ -56,8 +57,8 @@ RIDGE = 1e-4
 STEPS = 60
 #: Weight of keeping rates near 1 against meeting the targets.
 NEAR_ONE = 0.005
-#: No document is taken more often than this: 1 samples without repeating any.
-MOST = 1.0
+#: No document is taken more often than this: by default targets are met, however often that repeats a document.
+MOST = np.inf
 
 _STRIP = bytes(x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 _CLASSES = [bytes(c for c in range(256) if c not in keep) for keep in (range(65, 91), range(48, 58), b"#*$%&|<>@{}[]", b"!?", b".,;:", range(128, 256), b"\n")]
@@ -245,6 +246,15 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     return known.mapInArrow(rate, f"{kinds}, rate double").withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
 
 
+def shares(found: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """domain, target and share (expected, by rate) of the tokens of fit_mixture's rows."""
+    everything = sum(targets.values())
+    tokens = [F.sum(F.col("n_tokens") * F.col("rate") * F.element_at("posterior", i + 1)) for i in range(len(targets))]
+    total = found.agg(*[t.alias(f"d{i}") for i, t in enumerate(tokens)], F.sum(F.col("n_tokens") * F.col("rate")).alias("n"))
+    rows = [F.struct(F.lit(d).alias("domain"), F.lit(x / everything).alias("target"), F.try_divide(F.col(f"d{i}"), F.col("n")).alias("share")) for i, (d, x) in enumerate(targets.items())]
+    return total.select(F.inline(F.array(*rows)))
+
+
 def copies(doc_id: Column, rate: Column) -> Column:
     chance = F.coalesce(F.pmod(F.xxhash64(doc_id.cast("string"), F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)), F.lit(0.5))
     chance = F.when(doc_id.isNull(), 0.5).otherwise(chance)
