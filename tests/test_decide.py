@@ -87,3 +87,18 @@ def test_long_stream_crosses_batches(spark):
     last = decide(df).orderBy("event_id", ascending=False).first()
     assert last.version == 25_000 and decide(df).filter("kind = 'event'").count() == 25_000
     assert decide(df.limit(0)).count() == 0
+
+
+def test_race(spark):
+    """Commands of one snapshot: one wins each round; with no retries left the losers have a conflict."""
+    from tidelog.operators.decide import race
+
+    rows = [("s", i, T0, c, h, f"b{i}", "", None) for i, (c, h) in enumerate([("ReleaseSeatHold", "h0"), ("HoldSeat", "h1"), ("HoldSeat", "h2"), ("HoldSeat", "h1"), ("ReleaseSeatHold", "h9"), ("Other", "h")])]
+    commands = spark.createDataFrame(rows, "stream_id string, event_id long, ts timestamp_ntz, command string, hold_id string, booking_id string, reason string, expires_at timestamp_ntz")
+    state = spark.createDataFrame([("x", "held", "h", "b", None, 3, None)], "stream_id string, status string, hold_id string, booking_id string, expires_at timestamp, version int, error string")
+    got = {r.event_id: (r.kind, r.type, r.version, r.attempts, r.error) for r in race(commands, state).collect()}
+    assert got == {0: ("reply", "SeatHoldReleased", 0, 1, None), 1: ("event", "SeatHeld", 1, 1, None), 2: ("reply", "SeatUnavailable", 1, 2, None), 3: ("reply", "SeatHeld", 1, 2, None), 4: ("reply", "SeatHoldReleased", 0, 1, None)}
+    lost = {r.event_id: (r.kind, r.attempts, r.error) for r in race(commands, state, retries=0).collect()}
+    assert lost[2] == lost[3] == (None, 1, "version conflict") and lost[1][0] == "event"
+    broken = state.selectExpr("'s' as stream_id", "status", "hold_id", "booking_id", "expires_at", "version", "'v1: malformed' as error")
+    assert {r.error for r in race(commands, broken).collect()} == {"v1: malformed"}

@@ -119,3 +119,56 @@ def decide(commands: DataFrame, timed: bool = False, until_end: bool = False) ->
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[] for _ in _COLUMNS]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _KINDS, strict=True)], _COLUMNS)
+
+
+RACE = "stream_id string, event_id long, kind string, type string, hold_id string, booking_id string, reason string, expires_at timestamp_ntz, version int, attempts int, error string"
+_RACE_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.timestamp("us"), pa.int32(), pa.int32(), pa.string()]
+#: How often a command that lost a race is decided again.
+CONFLICT_RETRIES = 3
+
+
+def race(commands: DataFrame, state: DataFrame, retries: int = CONFLICT_RETRIES) -> DataFrame:
+    """What becomes of commands that all load their stream at once and append what they decide.
+
+    state is a fold: what all commands of a stream load first. In each round every
+    command left is decided on the same state. One that changes nothing is done; of
+    the others the first to arrive appends its event, and the rest meet a version
+    conflict, load the new state and decide again, `retries` times at most. A
+    command that lost every round has error "version conflict". A stream in error
+    has the error of its fold on every command. Unknown commands give no row.
+
+    One pass: the states of all rounds are known before a later command needs them,
+    so a task keeps retries + 2 states of one stream.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, rounds = None, []
+        for batch in batches:
+            rows = []
+            for s, event_id, command, hold, booking, reason, expires, status, held, owner, until, version, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != stream:  # the state that each round begins with
+                    stream, rounds = s, [Machine(Seat(version or 0, held or "", owner or "", until), status == "held", timed=False)]
+                if error is not None:
+                    rows.append((s, event_id, None, None, hold, booking, None, None, None, 1, error))
+                    continue
+                for n in range(retries + 1):
+                    before = rounds[n]
+                    seat = before.seat
+                    now = Machine(Seat(seat.version, seat.hold, seat.booking, seat.deadline), before.held, timed=False)
+                    out = now.apply(command, hold, booking, reason, expires)
+                    if out is None:
+                        break
+                    if out[0] == "reply" or n + 1 == len(rounds):
+                        if out[0] == "event":
+                            rounds.append(now)
+                        rows.append((s, event_id, *out, now.seat.version, n + 1, None))
+                        break
+                else:
+                    rows.append((s, event_id, None, None, hold, booking, None, None, None, retries + 1, "version conflict"))
+            columns = list(zip(*rows, strict=True)) or [[] for _ in _RACE_KINDS]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _RACE_KINDS, strict=True)], [x.split()[0] for x in RACE.split(", ")])
+
+    now = state.select("stream_id", "status", F.col("hold_id").alias("s_hold"), F.col("booking_id").alias("s_booking"), F.col("expires_at").cast("timestamp_ntz").alias("s_expires"), "version", "error")
+    read = commands.select("stream_id", "event_id", "ts", "command", "hold_id", "booking_id", "reason", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+    met = read.join(now, "stream_id", "left").repartition("stream_id").sortWithinPartitions("stream_id", "ts", "event_id")
+    return met.select("stream_id", "event_id", "command", "hold_id", "booking_id", "reason", "expires_at", "status", "s_hold", "s_booking", "s_expires", "version", "error").mapInArrow(run, RACE)

@@ -29,8 +29,8 @@ def short_type(kind) -> F.Column:
     return out
 
 
-def log(spark: SparkSession, d: str) -> DataFrame:
-    """The events of each user as the stream of a seat."""
+def log(spark: SparkSession, d: str, user: int | None = None) -> DataFrame:
+    """The events of each user as the stream of a seat; with user, that stream alone, which the scan knows."""
     name = short_type(F.col("event_type"))
     held = name == "SeatHeld"
     stream = F.concat(F.lit("seat-"), F.col("user_id").cast("string"))
@@ -42,7 +42,8 @@ def log(spark: SparkSession, d: str) -> DataFrame:
         "expires_at": F.when(held, F.date_trunc("second", F.col("ts").cast("timestamp")) + F.expr("INTERVAL 12 HOURS")),
     }
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events(spark, d).select(
+    rows = events(spark, d) if user is None else events(spark, d).filter(F.col("user_id") == user)
+    return rows.select(
         F.col("event_id").alias("global_seq"),
         stream.alias("stream_id"),
         F.row_number().over(order).cast("int").alias("version"),

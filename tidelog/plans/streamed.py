@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,10 @@ from ..streaming.service import OUT, seat_service
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the session's shared one; a temporary one only where it names none, as in tests."""
+    """A new folder in the one that the session names for checkpoints. Where it names none, a temporary one if all runs on this machine, else an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{shared or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}"
 
 
@@ -28,11 +31,14 @@ def stream_commands(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def service_counts(spark: SparkSession, d: str) -> DataFrame:
+def service_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What the service makes of all commands. The stream has a session of its own, so the caller's settings stay."""
     folder = work_folder(spark)
     rows = stream_commands(spark, d)
     rows.write.parquet(f"{folder}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = seat_service(file_stream(spark, f"{folder}/in", rows.schema))
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = seat_service(file_stream(own, f"{folder}/in", rows.schema))
     to_files(out, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{folder}/out").groupBy("kind", "type").agg(F.count("*").alias("n"))
+    return spark.read.schema(OUT).parquet(f"{folder}/out")

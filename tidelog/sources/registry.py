@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from ..schemas import COMMANDS, MESSAGES, NAMESPACE, type_name
@@ -42,6 +43,24 @@ def broken(old: dict[int, str], new: dict[int, str]) -> str:
     return ""
 
 
+def one_level(answers: list[tuple[str | None, str | None]]) -> str | None:
+    """One compatibility level from what several registries answered, as (level, error): the first error is raised, else the last level counts."""
+    level = None
+    for said, error in answers:
+        if error is not None:
+            raise RuntimeError(error)
+        level = said
+    return level
+
+
+def ensure_backward(set_level: Callable[[str], list], read_level: Callable[[], list]) -> None:
+    """Sets the global level to BACKWARD, then reads it back: what a registry echoes while it is set proves nothing."""
+    one_level(set_level("BACKWARD"))
+    level = one_level(read_level())
+    if level != "BACKWARD":
+        raise RuntimeError(f"global compatibility is {level}, want BACKWARD")
+
+
 def default_registry(namespace: str = NAMESPACE) -> Registry:
     out = Registry()
     for message, fields in MESSAGES.items():
