@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -20,9 +21,9 @@ BATCH_ROWS = "1000"
 
 
 def lean(spark: SparkSession) -> None:
-    """Bounds Arrow batches, unless the session has a size of its own."""
+    """Bounds Arrow batches in a session that says nothing of them; a size that was set, even to the default, stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":  # Spark's default
+    if name not in spark.conf.getAll:
         spark.conf.set(name, BATCH_ROWS)
 
 
@@ -32,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; a temporary one only where it names none, as in tests."""
+    """The folder that the session names for checkpoints. Where it names none, a temporary one if all runs on this machine, else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -88,6 +92,11 @@ def block_count(docs: DataFrame, text: str, block_bytes: int) -> int:
     return max(1, -(-int(total) // block_bytes))
 
 
+def block_of(blocks: int, *columns: str) -> Column:
+    """A row's block by hash of some columns: name the text beside the id, so that rows without an id, or with one and the same, are spread."""
+    return F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("long")
+
+
 def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
     """crc32 of the decimal id, the split the contracts name."""
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(mod)) == F.lit(remainder)
