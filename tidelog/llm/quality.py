@@ -1,13 +1,28 @@
-"""Quality rules: document rules first, then a verdict on the host they come from.
-
-Every document is measured over its whole text. A host's failures are counted,
-its failure rate is shrunk towards an empirical beta prior (moments over all
-hosts), and hosts whose shrunk rate is above a limit lose all their documents.
-
-Defined cases: a null or empty text has no words, so it fails; a null source
-belongs to no host and is judged by its own rules only; rows with the same
-doc_id are judged one by one; an empty table gives no rows. Columns other than
-doc_id, text and source are never read by `quality_rules`.
+"""Quality rules: rules of each document, and verdicts on the hosts that documents come from.
+
+Every document is measured over its whole text and held against three rules: the
+base rules (too short, or too much of it repeated), symbols (over a tenth of
+the characters of its words) and repeated lines (more than one for ten words).
+Each rule's failures are counted by host, and a host's failure rate is shrunk
+towards an empirical beta prior of that rule (moments over all hosts). A rule
+gives each host one of three verdicts:
+
+* refused: the host's odds to fail are, with a probability of about 95 %, more
+  than ODDS times those of the prior's mean, and its rate is over LEAST_RATE.
+  All its documents go.
+* watched: the shrunk rate is at least WATCH_RATE. Of such a host, documents that
+  fail the rule themselves go too.
+* else a failure of symbols or repeated lines is forgiven: one table of numbers
+  on a host of prose is no reason to drop it.
+
+The limit so follows the prior: where a third of everything fails, a host must be
+far worse than that to be refused.
+
+Defined cases: a null or empty text has no words, so it fails the base rules; a
+null source belongs to no host and is judged by the base rules only; rows with the
+same doc_id are judged one by one; an empty table gives no rows. `quality_rules`
+reads doc_id, text and source only; `keep_good` carries every column along,
+whatever its name.
 """
 
 from __future__ import annotations
@@ -18,8 +33,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, join_checked, slices, table, text_bytes
+from .common import cut, fresh, join_checked, slices, table, text_bytes
 
 #: Fixed values of the contract.
 MIN_WORDS = 50
@@ -27,8 +43,16 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
-#: A host is refused when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.6
+#: The rules that hosts are held to: base_failed, and the two below.
+RULES = ("base", "symbols", "lines")
+#: Symbols may be a tenth of the characters, repeated lines one for ten words.
+SHARE = 10
+#: A host is refused if its odds to fail a rule are surely more than so many times the prior's, and its rate over the least.
+ODDS, LEAST_RATE = 4.0, 0.2
+#: Standard deviations of the posterior that "surely" leaves out: about 95 % of a normal distribution lie above.
+SURELY = 1.645
+#: From this shrunk rate on, a host's documents answer for symbols and lines themselves.
+WATCH_RATE = 0.02
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _NOT_SYMBOL = bytes(x for x in range(256) if x not in SYMBOLS)
@@ -77,19 +101,35 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def host_verdicts(stats: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """source, host_docs, host_failed, host_rate (shrunk) and host_ok of every named host.
+def failures() -> dict[str, Column]:
+    """Whether a document fails each rule, from its figures."""
+    return {"base": base_failed(), "symbols": SHARE * F.col("n_symbols") > F.col("word_chars"), "lines": SHARE * F.col("n_dup_lines") > F.col("n_words")}
+
+
+def host_verdicts(stats: DataFrame, odds: float = ODDS, least_rate: float = LEAST_RATE, watch_rate: float = WATCH_RATE) -> DataFrame:
+    """source, host_docs, host_refused and, for each rule, <rule>_rate (shrunk) and <rule>_watched of every named host.
 
-    The prior's mean is the rate over all documents of named hosts; its strength
-    follows from how much more host rates vary than binomial chance alone would
-    make them. Hosts that vary no more get the strength of 10,000 documents.
+    stats: source and a boolean column for each rule. Counts are combined before the
+    shuffle, so a host of any size is a row for each task. A prior's mean is the
+    rate over all documents of named hosts; its strength follows from how much more
+    host rates vary than binomial chance alone would make them. Hosts that vary no
+    more get the strength of 10,000 documents.
     """
-    hosts = stats.filter(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    total = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"), F.count("*").alias("h"), F.sum(F.col("host_failed") * rate).alias("fr")).first()
-    alpha, beta = beta_prior(total["n"] or 0, total["f"] or 0, total["h"] or 0, total["fr"] or 0.0)
-    shrunk = (F.col("host_failed") + F.lit(alpha)) / (F.col("host_docs") + F.lit(alpha + beta))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_ok", F.col("host_rate") <= F.lit(max_host_rate))
+    counts = [F.sum(F.col(r).cast("long")).alias(f"{r}_failed") for r in RULES]
+    hosts = stats.filter(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("host_docs"), *counts)
+    squares = [F.sum(F.col(f"{r}_failed") * F.col(f"{r}_failed") / F.col("host_docs")).alias(f"{r}_squares") for r in RULES]
+    total = hosts.agg(F.sum("host_docs").alias("n"), F.count("*").alias("h"), *[F.sum(f"{r}_failed").alias(f"{r}_failed") for r in RULES], *squares).first()
+    refused, columns = F.lit(False), []
+    for r in RULES:
+        alpha, beta = beta_prior(total["n"] or 0, total[f"{r}_failed"] or 0, total["h"] or 0, total[f"{r}_squares"] or 0.0)
+        prior_odds = alpha / beta
+        limit = max(least_rate, odds * prior_odds / (1 + odds * prior_odds))
+        weight = F.col("host_docs") + F.lit(alpha + beta)
+        rate = (F.col(f"{r}_failed") + F.lit(alpha)) / weight
+        spread = F.sqrt(rate * (1 - rate) / (weight + 1))
+        refused = refused | (rate - SURELY * spread > limit)
+        columns += [rate.alias(f"{r}_rate"), (rate >= watch_rate).alias(f"{r}_watched")]
+    return hosts.select("source", "host_docs", refused.alias("host_refused"), *columns)
 
 
 def beta_prior(n: int, failed: int, hosts: int, failed_times_rate: float) -> tuple[float, float]:
@@ -105,40 +145,58 @@ def beta_prior(n: int, failed: int, hosts: int, failed_times_rate: float) -> tup
     return m * strength, (1 - m) * strength
 
 
-def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """doc_id, source, the base figures, base_failed, host_rate and kept of every row of docs."""
+def _kept() -> Column:
+    """From a document's rules and its host's verdicts, which are null without a host."""
+    out = ~F.col("base") & ~F.coalesce("host_refused", F.lit(False))
+    for r in RULES[1:]:
+        out = out & ~(F.col(r) & F.coalesce(f"{r}_watched", F.lit(False)))
+    return out
+
+
+_VERDICTS = ("host_refused", *(f"{r}_watched" for r in RULES[1:]))
+
+
+def quality_rules(docs: DataFrame, odds: float = ODDS, least_rate: float = LEAST_RATE, watch_rate: float = WATCH_RATE) -> DataFrame:
+    """doc_id, source, the base figures, base_failed, a column for each rule, the host's verdicts and kept of every row of docs."""
     read = docs.select("doc_id", "source", "text")
-    stats = read.mapInArrow(_measure, f"{_ddl(read, 'doc_id', 'source')}, {STATS}").withColumn("base_failed", base_failed())
-    stats = cut(stats)
-    hosts = cut(host_verdicts(stats, max_host_rate)).select("source", "host_rate", "host_ok")
-    kept = ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))
-    return join_checked(stats, hosts, ["source"], "left").withColumn("kept", kept).drop("host_ok")
+    stats = cut(read.mapInArrow(_measure, f"{_ddl(read, 'doc_id', 'source')}, {STATS}").withColumns(failures()))
+    hosts = cut(host_verdicts(stats, odds, least_rate, watch_rate)).select("source", *_VERDICTS)
+    return join_checked(stats, hosts, ["source"], "left").withColumns({"kept": _kept(), "base_failed": F.col("base")})
 
 
 def _ddl(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def keep_good(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of docs, all their columns, that pass their own rules and whose host is not refused.
+def keep_good(docs: DataFrame, odds: float = ODDS, least_rate: float = LEAST_RATE, watch_rate: float = WATCH_RATE) -> DataFrame:
+    """The rows of docs, all their columns, that `quality_rules` keeps.
 
-    The text is measured twice rather than shuffled: once for the hosts' counts
-    and once where the row is kept or dropped.
+    The text is measured twice rather than shuffled: once for the hosts' counts and
+    once where the row is kept or dropped. Only the few numbers of a row's rules
+    meet its host's verdicts.
     """
     read = docs.select("source", "text")
-    stats = read.mapInArrow(_measure, f"{_ddl(read, 'source')}, {STATS}").select("source", base_failed().alias("base_failed"))
-    hosts = cut(host_verdicts(stats, max_host_rate))
-    bad = hosts.filter(~F.col("host_ok")).select("source")
+    stats = read.mapInArrow(_measure, f"{_ddl(read, 'source')}, {STATS}").select("source", *[c.alias(r) for r, c in failures().items()])
+    hosts = cut(host_verdicts(stats, odds, least_rate, watch_rate)).select("source", *_VERDICTS)
+    own = {n: fresh(docs, n) for n in (*RULES[1:], *_VERDICTS)}
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that pass the base rules, with what they fail besides."""
         for batch in slices(batches, "text", 8 << 20):
-            good = []
-            for raw in text_bytes(batch.column("text")):
-                n, *_, repeated = text_stats(raw)
+            good, symbols, lines = [], [], []
+            for n, chars, marks, dup, repeated in map(text_stats, text_bytes(batch.column("text"))):
                 good.append(not (n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n))
-            yield batch.filter(pa.array(good, pa.bool_()))
+                symbols.append(SHARE * marks > chars)
+                lines.append(SHARE * dup > n)
+            both = batch.append_column(own["symbols"], pa.array(symbols, pa.bool_())).append_column(own["lines"], pa.array(lines, pa.bool_()))
+            yield both.filter(pa.array(good, pa.bool_()))
 
-    return join_checked(docs.mapInArrow(passing, docs.schema), bad, ["source"], "left_anti").select(*docs.columns)
+    marked = docs.mapInArrow(passing, T.StructType([*docs.schema.fields, *(T.StructField(own[r], T.BooleanType()) for r in RULES[1:])]))
+    verdicts = hosts.select("source", *[F.col(v).alias(own[v]) for v in _VERDICTS])
+    kept = ~F.coalesce(F.col(own["host_refused"]), F.lit(False))
+    for r in RULES[1:]:
+        kept = kept & ~(F.col(own[r]) & F.coalesce(F.col(own[f"{r}_watched"]), F.lit(False)))
+    return join_checked(marked, verdicts, ["source"], "left").filter(kept).select(*docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,14 +225,22 @@ stats AS (
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
 judged AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM stats),
-hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
-total AS (SELECT sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS h, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ^ 2 AS spread FROM hosts),
+rules AS (SELECT *, 10 * n_symbols > word_chars AS symbols, 10 * n_dup_lines > n_words AS lines FROM judged),
+hosts AS (
+  SELECT source, count(*)::DOUBLE AS n, rule, sum(f::INT)::DOUBLE AS f
+  FROM (SELECT source, unnest(['base', 'symbols', 'lines']) AS rule, unnest([base_failed, symbols, lines]) AS f FROM rules WHERE source IS NOT NULL) GROUP BY source, rule),
+total AS (SELECT rule, sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS h, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ^ 2 AS spread FROM hosts GROUP BY rule),
 prior AS (
-  SELECT m, CASE WHEN spread - m * (1 - m) * (h - 1) / n <= 0 THEN 10000.0
-                 ELSE least(10000.0, greatest(1.0, m * (1 - m) / (spread - m * (1 - m) * (h - 1) / n) - 1)) END AS strength
-  FROM total),
-verdict AS (SELECT source, (f + m * strength) / (n + strength) <= 0.6 AS host_ok FROM hosts, prior)
+  SELECT rule, CASE WHEN m > 0 AND m < 1 THEN m * strength ELSE greatest(m, 0.01) END AS a, CASE WHEN m > 0 AND m < 1 THEN (1 - m) * strength ELSE greatest(1 - m, 0.01) END AS b
+  FROM (SELECT *, CASE WHEN spread - m * (1 - m) * (h - 1) / n <= 0 THEN 10000.0
+                       ELSE least(10000.0, greatest(1.0, m * (1 - m) / (spread - m * (1 - m) * (h - 1) / n) - 1)) END AS strength FROM total)),
+rates AS (
+  SELECT source, rule, (f + a) / (n + a + b) AS rate, n + a + b AS weight, greatest(0.2, (4 * a / b) / (1 + 4 * a / b)) AS most FROM hosts JOIN prior USING (rule)),
+verdict AS (
+  SELECT source, bool_or(rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > most) AS refused,
+         bool_or(rule = 'symbols' AND rate >= 0.02) AS symbols_watched, bool_or(rule = 'lines' AND rate >= 0.02) AS lines_watched
+  FROM rates GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(host_ok, true) AS kept
-FROM judged LEFT JOIN verdict USING (source)
+       NOT base_failed AND NOT coalesce(refused, false) AND NOT (symbols AND coalesce(symbols_watched, false)) AND NOT (lines AND coalesce(lines_watched, false)) AS kept
+FROM rules LEFT JOIN verdict USING (source)
 """
