@@ -1,5 +1,6 @@
 import hashlib
 
+from pyspark.sql import functions as F
 
 from tidelog.llm import chat
 
@@ -25,6 +26,17 @@ def test_round_trip_of_everything_nasty(spark):
         assert r.formatted.count("</turn>") == len(turns)
 
 
+def test_loss_is_what_the_mask_shows(spark):
+    """Read through the mask, not from the source: a mask that is one character off shows another text."""
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "plain answer"), (1, 2, "assistant", "an \\ and </turn>"), (2, 0, "user", "alone"), (3, 0, "assistant", "x" * 300_000), (3, 1, "assistant", "### " * 1000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'own' as formatted", "'own' as loss_spans", "'own' as at")
+    chats = chat.format_chats(df)
+    read = lambda spans: {r.conv_id: r.x for r in chats.select("conv_id", chat.under_mask(F.col("formatted"), spans).alias("x")).collect()}
+    assert read(F.col("loss_spans")) == {1: "plain answeran \\ and </turn>", 2: "", 3: "x" * 300_000 + "### " * 1000}
+    off = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length"), s["escaped"].alias("escaped")))
+    assert read(off)[1] != read(F.col("loss_spans"))[1]
+
+
 def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.format_chats(df)._jdf.queryExecution().executedPlan().toString()

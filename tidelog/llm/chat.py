@@ -17,9 +17,10 @@ they agree, and escaping makes it true for every input.
 
 Defined cases: a null role or text is empty; turns are ordered by turn, then
 role, then text, null first; a null conv_id is one conversation; repeated rows
-are turns of their own; an empty table gives no rows. Other columns are never
-read. A conversation is one text, so its rows meet in one task; nothing else
-does.
+are turns of their own; an empty table gives no rows. Columns other than conv_id, turn, role
+and text are never read, whatever their names. A conversation is one text, so its
+rows meet in one task; nothing else does. A text of any length is escaped and
+parsed whole.
 """
 
 from __future__ import annotations
@@ -95,13 +96,22 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     return read.select("conv_id", "formatted", "turns", "loss_spans", F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("identical"))
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The text under the loss mask: what formatted has at each span, escapes undone, one after the other."""
+
+    def said(span: Column) -> Column:
+        part = F.substr(formatted, (span["start"] + 1).cast("int"), span["length"].cast("int"))
+        return F.when(span["escaped"], unescape(part)).otherwise(part)
+
+    return F.array_join(F.transform(spans, said), "")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     chats = format_chats(rows)
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    read = chats.select("conv_id", "turns", "formatted", loss.alias("loss"))
+    read = chats.select("conv_id", "turns", "formatted", under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"), "identical")
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -110,6 +120,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "identical",
     )
 
 
@@ -127,6 +138,6 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(CASE WHEN escaped THEN 15 + length(replace(r0, ': ', ':\ ')) + length(t) ELSE 14 + length(role) + length(text) END)::BIGINT AS formatted_chars
+       sum(CASE WHEN escaped THEN 15 + length(replace(r0, ': ', ':\ ')) + length(t) ELSE 14 + length(role) + length(text) END)::BIGINT AS formatted_chars, true AS identical
 FROM e GROUP BY conv_id
 """
