@@ -8,28 +8,35 @@ judged by the first level that does not hold it: after an even level it is not
 listed, after an odd one it is. Every page is looked up against constants in
 the plan, without a join.
 
-Each level has about 2**bits bits for the keys it holds, with three hashes at
-10 bits a key or more, so each level lets through under a fiftieth of what it
-should stop, and the levels together stay within about 12 bits a listed key.
-The size of the list is checked (MAX_KEYS) before a cascade is built.
+Level 0 lets through about 0.7 times as many other keys as keys are listed, which
+makes all levels together smallest; each further level holds what is left over
+from the one before and lets an eighth of its opposite through. A level's size
+follows from its count of keys, in bits, so levels act in turn for a list of six
+hosts as for one of a million.
+
+One cascade holds MAX_KEYS listed keys at most. A longer list is split by a hash of
+the key into parts, each with a cascade of its own; past MAX_PARTS parts, whose
+constants no plan should carry, `listed_among` joins instead. Each way is exact.
 
 Everything is a DataFrame function: a level's words are long values, or-ed
 together by position.
 
 Defined cases: a null url, or one without "://", has an empty host and path; an
 empty host is never listed; no listed key gives no level and lists nothing;
-repeated urls are judged alike; an empty table gives no rows. Other columns are
-never read.
+repeated urls are judged alike, and a url of any length whole; an empty table
+gives no rows. `with_parts` and `judge` carry columns along; their own (host and
+path; rule, verdict and listed) replace columns of the same names.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 #: Fixed values of the contract: verdict, host, path.
 RULES = (
@@ -42,9 +49,13 @@ RULES = (
 
 #: Listed names: a host is listed if one of its labels is one of these.
 LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-#: Keys that one cascade may list: about 2 MB of constants.
+#: Keys that one cascade may list: about 1.5 MB of constants. MAX_PARTS cascades may be in one plan.
 MAX_KEYS = 1 << 20
-HASHES = 3
+MAX_PARTS = 8
+#: What the levels after the first let through.
+PASS = 1 / 8
+#: From this level on, sizes double from level to level, so that a few unlucky keys cannot go on for ever.
+LAST_STEADY = 16
 
 
 def with_parts(urls: DataFrame, url: str = "url") -> DataFrame:
@@ -68,14 +79,16 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
 @dataclass
 class Level:
     seed: int
+    size: int  # in bits
+    hashes: int
     words: list[int]  # 64 bits each
 
     def holds(self, key: Column) -> Column:
         """Whether the filter lets key through."""
         table = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a constant by the optimizer
         out = F.lit(True)
-        for bit in bits_of(key, self.seed, 64 * len(self.words)):
-            word = F.element_at(table, (bit / 64).cast("int") + 1)
+        for bit in bits_of(key, self.seed, self.size, self.hashes):
+            word = F.element_at(table, F.shiftright(bit, 6).cast("int") + 1)
             out = out & (word.bitwiseAND(_one_bit(bit)) != 0)
         return out
 
@@ -84,19 +97,24 @@ def _one_bit(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
 
 
-def bits_of(key: Column, seed: int, size: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(size)) for i in range(HASHES)]
+def bits_of(key: Column, seed: int, size: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(size)) for i in range(hashes)]
+
 
+def level_shape(count: int, passing: float) -> tuple[int, int]:
+    """Bits and hashes of a filter of count keys that lets that share of others through."""
+    hashes = max(1, round(-math.log2(passing)))
+    return max(1, math.ceil(count * hashes / math.log(2))), hashes
 
-def build_level(keys: DataFrame, count: int, seed: int) -> Level:
+
+def build_level(keys: DataFrame, seed: int, size: int, hashes: int) -> Level:
     """The filter of all rows of keys (a column key): one bit-or for each word, and that table of fixed size comes back."""
-    words = max(1, -(-count * 12 // 64))
-    bit = keys.select(F.explode(F.array(*bits_of(F.col("key"), seed, 64 * words))).alias("bit"))
-    found = bit.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(_one_bit(F.col("bit"))).alias("bits"))
-    table = [0] * words
-    for r in found.collect():
+    bit = keys.select(F.explode(F.array(*bits_of(F.col("key"), seed, size, hashes))).alias("bit"))
+    found = bit.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(_one_bit(F.col("bit"))).alias("bits"))
+    table = [0] * -(-size // 64)
+    for r in found.collect():  # as many rows as the level has words
         table[r["word"]] = r["bits"]
-    return Level(seed, table)
+    return Level(seed, size, hashes, table)
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, max_keys: int = MAX_KEYS) -> list[Level]:
@@ -107,12 +125,14 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_keys: int = MAX_KE
     holding, other = inside, outside
     count = holding.count()
     if count > max_keys:
-        raise ValueError(f"{count} keys are listed; a cascade holds {max_keys} at most, so split the list by a hash of the host")
+        raise ValueError(f"{count} keys are listed; one cascade holds {max_keys} at most; build_parts splits the list")
+    passing = min(0.5, max(1e-6, 0.7 * count / max(1, outside.count())))
     while count:
-        level = build_level(holding, count, len(levels))
+        size, hashes = level_shape(count, passing)
+        level = build_level(holding, len(levels), size << max(0, len(levels) - LAST_STEADY), hashes)
         levels.append(level)
         holding, other = cut(other.filter(level.holds(F.col("key")))), holding
-        count = holding.count()
+        count, passing = holding.count(), PASS
     return levels
 
 
@@ -124,18 +144,57 @@ def is_listed(key: Column, levels: list[Level]) -> Column:
     return out
 
 
-def judge(urls: DataFrame, levels: list[Level], rules: tuple = RULES) -> DataFrame:
-    """urls (with host and path) with rule, verdict and listed."""
-    found = urls.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("listed", is_listed(F.col("host"), levels))
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+
+
+def build_parts(listed: DataFrame, universe: DataFrame, max_keys: int = MAX_KEYS, max_parts: int = MAX_PARTS) -> list[list[Level]] | None:
+    """A cascade for each part of the keys by hash, so many that each part lists max_keys at most; None if more than max_parts were needed."""
+    inside = cut(listed.filter("key is not null").distinct())
+    parts = max(1, -(-inside.count() // max_keys))
+    while parts <= max_parts:
+        most = inside.groupBy(_part(F.col("key"), parts)).count().agg(F.max("count")).first()[0] or 0
+        if most <= max_keys:
+            return [build_cascade(inside.filter(_part(F.col("key"), parts) == i), universe.filter(_part(F.col("key"), parts) == i), max_keys) for i in range(parts)]
+        parts += 1
+    return None
+
+
+def listed_among(rows: DataFrame, key: str, listed: DataFrame, universe: DataFrame, max_keys: int = MAX_KEYS, max_parts: int = MAX_PARTS) -> DataFrame:
+    """rows with a boolean column listed: whether their key is in the table listed (a column key). universe holds every key that rows has.
+
+    The list is a table of any size: one cascade, several, or past max_parts a join
+    with the distinct listed keys, which AQE splits where one key has many rows.
+    """
+    parts = build_parts(listed, universe, max_keys, max_parts)
+    if parts is None:
+        name = fresh(rows, "listed_key")
+        keys = listed.filter("key is not null").distinct().select(F.col("key").alias(name))
+        return rows.join(keys, F.col(key) == F.col(name), "left").withColumn("listed", F.col(name).isNotNull()).drop(name)
+    out = F.lit(False)
+    for i, levels in enumerate(parts):
+        inside = is_listed(F.col(key), levels)
+        out = F.when(_part(F.col(key), len(parts)) == i, inside).otherwise(out) if len(parts) > 1 else inside
+    return rows.withColumn("listed", F.coalesce(out & F.col(key).isNotNull(), F.lit(False)))
+
+
+def judge(urls: DataFrame, listed: DataFrame, rules: tuple = RULES, max_keys: int = MAX_KEYS, max_parts: int = MAX_PARTS) -> DataFrame:
+    """urls (with host and path) with listed, rule and verdict: the longest rule's, else block for a host in the table listed (a column key)."""
+    universe = urls.select(F.col("host").alias("key"))
+    found = listed_among(urls, "host", listed.filter("key <> ''"), universe, max_keys, max_parts)
+    rule = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("listed"), "block").otherwise("allow")
-    return found.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce(F.col("_rule.verdict"), own)}).drop("_rule")
+    return found.withColumns({"verdict": F.coalesce(rule["verdict"], own), "rule": rule["rule"]})
+
+
+def hosts_with_names(urls: DataFrame, names: tuple[str, ...] = LISTED_NAMES) -> DataFrame:
+    """The list that comes from names: every host (a column key) of urls that has one of them as a label."""
+    return urls.select(F.col("host").alias("key")).filter(F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, names)))).distinct()
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = with_parts(table(spark, sf_dir, "pages").select("page_id", "url"))
-    universe = pages.select(F.col("host").alias("key"))
-    listed = universe.filter(F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, LISTED_NAMES))))
-    return judge(pages, build_cascade(listed, universe)).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages, hosts_with_names(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP7_SQL = r"""
