@@ -1,21 +1,22 @@
-"""Best-fit packing of tokenised documents into sequences of a fixed capacity.
+"""Bounded-space online best-fit packing of tokenised documents into sequences of a fixed capacity.
 
 Documents are tokenised whole and end with one closing id. Only documents over
-the capacity are cut, into full pieces and one shorter rest. Pieces are dealt
-by hash to shards of bounded text size; in a shard, bounded-space best-fit puts
-each piece into the fullest open bin that still has room. The open bins' free
-spaces are kept as a bitset (bit f: some open bin has f tokens free), so the
-best bin is one shift and one lowest-bit step. At most `open_bins` are open;
-when another is needed, the fullest closes.
-
-Long pieces arrive first in a shard. A shard has fewer bins than `open_bins`
-unless its texts have unusually many tokens to a byte, so in general nothing
-closes early, and a shard wastes less than one sequence beyond best-fit
-decreasing.
+the capacity are cut, into full pieces and one shorter rest. Pieces are dealt by
+hash to shards and arrive there in hash order, one after the other: each goes
+into the fullest open bin that still has room, for good. The open bins' free
+spaces are kept as a bitset (bit f: some open bin has f tokens free), so the best
+bin is one shift and one lowest-bit step. At most `open_bins` are open; when
+another is needed, the fullest closes.
+
+Packing sees a piece once and remembers the open bins only, so a shard may have
+any number of pieces. Measured on 21,725 pieces of 20,000 documents of check_s,
+one shard: 6,228 sequences where the tokens alone need 6,197 (0.5 % more), the
+same with 64 open bins as with 4,096. Sorting a shard by length first would
+reach 6,197, but that is no longer online.
 
 Defined cases: a null or empty text is the closing id alone; rows that share a
-doc_id are packed as documents of their own; an empty table gives no rows.
-Columns other than doc_id and text are never read.
+doc_id, repeated rows and rows without one are packed as documents of their own;
+an empty table gives no rows. Columns other than doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +39,10 @@ from .common import block_count, slices, table, text_bytes
 CAPACITY = 4096
 END_ID = 1
 
-OPEN_BINS = 4096
+OPEN_BINS = 64
 SHARD_BYTES = 24 << 20
+#: Tasks that shards are dealt to at most; a task packs its shards one after the other.
+MOST_TASKS = 20_000
 #: Words whose ids a worker remembers at once; only speed depends on it.
 CACHE_WORDS = 300_000
 #: ASCII punctuation that the tokeniser always separates from a letter before it.
@@ -137,49 +139,69 @@ def tokenize(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end
     return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int]]:
-    """The bin and the offset of each length, in the order given."""
-    bits, at_free, used = 0, [[] for _ in range(capacity + 1)], []
-    is_open, bins, offsets = 0, [], []
-    for x in lengths:
-        if room := bits >> x:
-            free = x + (room & -room).bit_length() - 1
-            b = at_free[free].pop()
-            is_open -= 1
+class Bins:
+    """The open bins of one shard. used: tokens of each open bin; bits: which free spaces there are; at_free: the open bins of each free space."""
+
+    def __init__(self, capacity: int = CAPACITY, open_bins: int = OPEN_BINS):
+        self.capacity, self.most = capacity, open_bins
+        self.bits, self.count, self.opened = 0, 0, 0
+        self.at_free: dict[int, list[int]] = {}
+
+    def _take(self, free: int) -> int:
+        bins = self.at_free[free]
+        b = bins.pop()
+        if not bins:
+            del self.at_free[free]
+            self.bits ^= 1 << free
+        self.count -= 1
+        return b
+
+    def place(self, length: int) -> tuple[int, int]:
+        """The bin and the offset of a piece that arrives now."""
+        if room := self.bits >> length:
+            free = length + (room & -room).bit_length() - 1
+            b = self._take(free)
         else:
-            if is_open == open_bins:
-                free = (bits & -bits).bit_length() - 1
-                at_free[free].pop()
-                is_open -= 1
-                bits ^= (not at_free[free]) << free
-            free, b = capacity, len(used)
-            used.append(0)
-        if free < capacity and not at_free[free]:
-            bits ^= 1 << free
-        bins.append(b)
-        offsets.append(used[b])
-        used[b] += x
-        left = capacity - used[b]
+            if self.count == self.most:
+                self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
+            free, b = self.capacity, self.opened
+            self.opened += 1
+        left = free - length
         if left:
-            at_free[left].append(b)
-            bits |= 1 << left
-            is_open += 1
-    return bins, offsets
+            self.at_free.setdefault(left, []).append(b)
+            self.bits |= 1 << left
+            self.count += 1
+        return b, self.capacity - free
 
 
-def pack(pieces: DataFrame, shards: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """pieces with sequence_id and offset."""
+def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int]]:
+    """The bin and the offset of each length, in the order given."""
+    bins = Bins(capacity, open_bins)
+    places = [bins.place(x) for x in lengths]
+    return [b for b, _ in places], [o for _, o in places]
 
-    def shard_bins(key: tuple, group: pa.Table) -> pa.Table:
-        length, doc = group.column("length").to_numpy(), group.column("doc_id")
-        group = group.take(pc.sort_indices(group, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])) if len(doc) else group
-        bins, offsets = best_fit(np.sort(length)[::-1].tolist(), capacity, open_bins)
-        first = key[0].as_py() << 32
-        return group.drop_columns("_shard").append_column("sequence_id", pa.array(np.asarray(bins, dtype=np.int64) + first)).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+def pack(pieces: DataFrame, shards: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
+    """pieces with sequence_id and offset. Pieces of a shard pass one task in hash order; what it keeps of them are the open bins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, bins = None, Bins(capacity, open_bins)
+        for batch in batches:
+            sequence, offset = [], []
+            for s, length in zip(batch.column("_shard").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                if s != shard:
+                    shard, bins = s, Bins(capacity, open_bins)
+                b, at = bins.place(length)
+                sequence.append((s << 32) + b)
+                offset.append(at)
+            kept = batch.select([n for n in batch.schema.names if n not in ("_shard", "_arrival")])
+            yield kept.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+
+    arrival = F.xxhash64("doc_id", "piece", "ids_crc32")  # with the ids, so that rows without a doc_id are spread
+    dealt = pieces.withColumns({"_arrival": arrival, "_shard": F.pmod(arrival, F.lit(shards))})
+    ordered = dealt.repartition(min(shards, MOST_TASKS), "_shard").sortWithinPartitions("_shard", "_arrival", "doc_id", "piece")
     kinds = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return dealt.groupBy("_shard").applyInArrow(shard_bins, f"{kinds}, sequence_id long, offset long")
+    return ordered.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS, shard_bytes: int = SHARD_BYTES, keep_ids: bool = False) -> DataFrame:
