@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op2_quality_rules": quality.OP2_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
+    "op6_substring_dedup": substring.OP6_SQL,
     "op7_url_filters": urls.OP7_SQL,
 }
