@@ -1,28 +1,48 @@
 """SimHash near-duplicates by anchor-point covering.
 
 A document's fingerprint is the bitwise majority of the 64-bit hashes of its
-word shingles. Two fingerprints within 4 bits agree to within one bit on at
-least one of three segments of 22, 21 and 21 bits. Each segment, padded to 23
-bits, is covered by the binary Golay code: every point has exactly one anchor
-within 3 bits (its home). A fingerprint is sent to all anchors within 3 + 1
-bits of its segment, about 5.3 of 4,096, so that whoever has its home at an
-anchor meets there every fingerprint within one bit on that segment. Exact
-distances over all 64 bits are then taken anchor by anchor, in blocks.
+word shingles. Fingerprints are sent to the anchors of a cover, so that any two
+that differ in few bits meet at one, and exact distances over all 64 bits are
+taken anchor by anchor.
+
+The first cover is made of the binary Golay code. Two fingerprints within 4 bits
+agree to within one bit on at least one of three segments of 22, 21 and 21 bits.
+Each segment, padded to 23 bits, is covered by the code: every point has exactly
+one anchor within 3 bits (its home). A fingerprint is sent to all anchors within
+3 + 1 bits of its segment, about 5.3 of 4,096, so that whoever has its home at an
+anchor meets there every fingerprint within one bit on that segment.
+
+12,288 anchors are few for a large corpus, and a cluster of near copies crowds a few
+of them in any. So rows at an anchor of over MOST_ROWS leave it for a finer cover,
+whose code is every word on some of the bits (radius 0, each point its own anchor):
+64 bits in 6 parts, of which two fingerprints within 4 bits share 2 (15 pairs of
+parts, anchors of 21 bits), and if that is still crowded, 8 parts that share 4 (70
+choices, anchors of 32 bits). Links are the same whichever cover finds them, so a
+corpus of any size compares a fingerprint with some thousands.
 
 Equal fingerprints are one node from the start, and an anchor reports a
 spanning forest of its links, never all pairs, so a group of n copies costs at
 most n - 1 links an anchor. Components are found by distributed star steps.
 
+`keep_first` is the stage for corpora: documents whose sets of five-word shingles
+have a Jaccard similarity of 0.8 or more. That is far in bits (about 10 of 64, up
+to 17), so anchors are words on randomly chosen bits, so many and so wide that a
+pair at the limit meets with 98 % and a fingerprint with some hundred others.
+What meets is verified on the shingles of whole texts; only verified links count,
+so documents that are merely alike stay.
+
 Defined cases: a text without a word (or null) has fingerprint zero, linked
 like any other; fewer words than a shingle make one shingle; a null doc_id is
-a row of its own with a null component; rows with equal doc_id are all
-returned; an empty table gives no rows. Columns other than doc_id and text are
-never read.
+a row of its own with a null component, and is always kept; rows with equal
+doc_id are all returned, and kept or dropped each by its own text; a doc_id that
+is no integer is refused; an empty table gives no rows. `near_duplicates` reads
+doc_id and text only; `keep_first` carries all columns along, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_checked, slices, table, text_bytes
+from .common import cut, fresh, join_checked, slices, table, text_bytes
 from .graph import components
 
 #: Fixed values of the contract.
@@ -43,8 +63,17 @@ MAX_BITS = 4
 GOLAY = 0b110001110101
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Rows that an anchor may have before they go to a finer cover.
+MOST_ROWS = 8192
+#: Rows from which an anchor is searched link by link, which is cheap where rows are close together.
+PEEL_ROWS = 2048
 COMPARE_BLOCK = 1 << 20
 
+#: Of the stage: words of a shingle, the least similarity, and how many pairs at that limit should meet.
+STAGE_SHINGLE, SIMILARITY, MEET = 5, 0.8, 0.98
+#: Random fingerprints that one meets at each anchor of the stage, about.
+COMPANY = 16
+
 #: Eight 8-bit lanes of one word, one for each bit of a byte, the highest bit in the first lane.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -79,18 +108,25 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -
     return out
 
 
+def whole_ids(docs: DataFrame) -> None:
+    if docs.schema["doc_id"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise TypeError("doc_id must be an integer")
+
+
 def document_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed bigint)."""
+    """doc_id, text_hash (which tells rows of one doc_id apart) and fp (the fingerprint as a signed bigint)."""
+    whole_ids(docs)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             fp = fingerprints(list(text_bytes(batch.column("text"))), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measure, "doc_id long, fp long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return read.mapInArrow(measure, "doc_id long, text_hash long, fp long")
 
 
-class Anchors:
+class Golay:
     """The Golay code as lookups: a syndrome for each point, and the error patterns of weight 4 at most for each syndrome."""
 
     def __init__(self, reach: int):
@@ -120,20 +156,63 @@ class Anchors:
         return index, (points[index] ^ self.errors[at]) >> 11, self.weights[at] <= 3
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    anchors = Anchors(3 + MAX_BITS // len(SEGMENTS))
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1 << 15):
-            part = batch.slice(at, 1 << 15)
-            fp, node = (part.column(k).to_numpy() for k in ("fp", "node"))
-            for k, (first, width) in enumerate(SEGMENTS):
-                points = ((fp.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
-                index, anchor, home = anchors.near(points)
-                yield pa.RecordBatch.from_arrays([pa.array((anchor + (k << 12)).astype(np.int32)), pa.array(home), pa.array(fp[index]), pa.array(node[index])], ["anchor", "home", "fp", "node"])
+#: What a cover is to a task: for some fingerprints, batches of (index, anchor, home).
+Cover = Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def golay_cover(max_bits: int) -> Cover:
+    def place(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        code = Golay(3 + max_bits // len(SEGMENTS))
+        for k, (first, width) in enumerate(SEGMENTS):
+            points = ((fp >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            index, anchor, home = code.near(points)
+            yield index, anchor + (k << 12), home
+
+    return place
+
+
+def bits_cover(choices: list[list[int]]) -> Cover:
+    """An anchor for every value of the bits of each choice."""
+
+    def place(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        everyone, home = np.arange(len(fp)), np.ones(len(fp), bool)
+        for k, bits in enumerate(choices):
+            anchor = np.zeros(len(fp), np.int64)
+            for j, b in enumerate(bits):
+                anchor |= ((fp >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << j
+            yield everyone, anchor + (k << 44), home
+
+    return place
+
+
+def parts_cover(max_bits: int, shared: int) -> Cover:
+    """64 bits in max_bits + shared parts: whoever is within max_bits has `shared` parts in common."""
+    parts = np.array_split(np.arange(64), max_bits + shared)
+    return bits_cover([np.concatenate(c).tolist() for c in combinations(parts, shared)])
+
+
+def random_cover(width: int, tables: int) -> Cover:
+    return bits_cover([np.random.default_rng(k).permutation(64)[:width].tolist() for k in range(tables)])
+
+
+def anchored(nodes: DataFrame, cover: Cover) -> DataFrame:
+    """nodes (fp, node) at all their anchors: anchor, home, fp, node."""
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(at, 1 << 14)
+                fp, node = (part.column(k).to_numpy() for k in ("fp", "node"))
+                for index, anchor, home in cover(fp.view(np.uint64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(home), pa.array(fp[index]), pa.array(node[index])], ["anchor", "home", "fp", "node"])
+
+    return nodes.select("fp", "node").mapInArrow(replicate, "anchor long, home boolean, fp long, node long")
 
 
 def anchor_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
     """A spanning forest of the links between rows that are at home at an anchor and all rows there."""
+    if len(fp) >= PEEL_ROWS:
+        return peel_links(fp, node, max_bits)
     homes, label, links = np.flatnonzero(home), np.arange(len(fp)), []
     fp = fp.view(np.uint64)  # bits of signed numbers would be counted without the sign
     step = max(1, COMPARE_BLOCK // max(1, len(fp)))
@@ -150,48 +229,178 @@ def anchor_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, max_bits: i
     return links
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor; an anchor is compared when its last row has come."""
-    waiting: list[pa.RecordBatch] = []
+def peel_links(fp: np.ndarray, node: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
+    """A spanning forest of all links, found from row to row: what was reached is not compared again, so a cluster costs its rows a few times."""
+    fp, left, links = fp.view(np.uint64), np.arange(len(fp)), []
+    while len(left):
+        wave, left = left[:1], left[1:]
+        while len(wave) and len(left):
+            step = max(1, COMPARE_BLOCK // len(left))
+            now, wave = wave[:step], wave[step:]
+            close = np.bitwise_count(fp[now][:, None] ^ fp[left][None, :]) <= max_bits
+            reached = close.any(axis=0)
+            links += zip(node[left[reached]].tolist(), node[now[close[:, reached].argmax(axis=0)]].tolist(), strict=True)
+            wave, left = np.concatenate([wave, left[reached]]), left[~reached]
+    return links
 
-    def settle(found: pa.Table) -> pa.RecordBatch:
-        anchor = found.column("anchor").to_numpy()
-        fp, node, home = (found.column(k).to_numpy() for k in ("fp", "node", "home"))
-        cuts = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(anchor)]
-        links = [x for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for x in anchor_links(fp[a:b], node[a:b], home[a:b])]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        anchor = batch.column("anchor").to_numpy()
-        if waiting and waiting[-1].column("anchor")[-1].as_py() == anchor[0] == anchor[-1]:
-            waiting.append(batch)
-            continue
-        last = int(np.searchsorted(anchor, anchor[-1]))
-        head = [*waiting, batch.slice(0, last)]
-        if any(x.num_rows for x in head):
-            yield settle(pa.Table.from_batches(head))
-        waiting = [batch.slice(last)]
-    if waiting:
-        yield settle(pa.Table.from_batches(waiting))
+def by_anchor(found: DataFrame, search: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """What search finds in each anchor's fp, node and home: links a, b. Rows come sorted by anchor, and an anchor is searched when its last row has come."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
 
+        def settle(found: pa.Table) -> pa.RecordBatch:
+            anchor = found.column("anchor").to_numpy()
+            fp, node, home = (found.column(k).to_numpy() for k in ("fp", "node", "home"))
+            cuts = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(anchor)]
+            links = [x for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for x in search(fp[a:b], node[a:b], home[a:b])]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor = batch.column("anchor").to_numpy()
+            if waiting and waiting[-1].column("anchor")[-1].as_py() == anchor[0] == anchor[-1]:
+                waiting.append(batch)
+                continue
+            last = int(np.searchsorted(anchor, anchor[-1]))
+            head = [*waiting, batch.slice(0, last)]
+            if any(x.num_rows for x in head):
+                yield settle(pa.Table.from_batches(head))
+            waiting = [batch.slice(last)]
+        if waiting:
+            yield settle(pa.Table.from_batches(waiting))
+
+    return found.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a long, b long")
+
+
+def links_within(nodes: DataFrame, max_bits: int = MAX_BITS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Links a, b that connect all nodes (fp, node; cut before) within max_bits of each other.
+
+    Cover after cover: anchors of over most_rows give their rows to the next, the
+    last takes what comes.
+    """
+    covers = [golay_cover(max_bits), parts_cover(max_bits, 2), parts_cover(max_bits, 4)]
+    search, found = (lambda fp, node, home: anchor_links(fp, node, home, max_bits)), None
+    for k, cover in enumerate(covers):
+        placed = anchored(nodes, cover)
+        crowded = None
+        if k + 1 < len(covers):
+            sizes = cut(placed.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most_rows).select("anchor"))
+            if sizes.head():
+                crowded = cut(join_checked(placed, sizes, ["anchor"], "left_semi").select("fp", "node").distinct())
+                placed = join_checked(placed, sizes, ["anchor"], "left_anti")
+        links = by_anchor(placed, search)
+        found = links if found is None else found.unionByName(links)
+        if crowded is None:
+            break
+        nodes = crowded
+    return found
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs."""
-    found = cut(document_fingerprints(docs, shingle, seed))
+    found = cut(document_fingerprints(docs, shingle, seed).drop("text_hash"))
     nodes = cut(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    dealt = nodes.mapInArrow(_replicate, "anchor int, home boolean, fp long, node long").repartition("anchor").sortWithinPartitions("anchor")
-    met = components(dealt.mapInArrow(_compare, "a long, b long"))
+    met = components(links_within(nodes, max_bits, most_rows))
     named = nodes.join(met, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.join(named, "fp", "left").select("doc_id", hexed.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, whose doc_id is the smallest of its component (and those without a doc_id)."""
-    gone = cut(near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct())
-    return join_checked(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+# the stage
+
+
+def stage_shape(count: int, similarity: float = SIMILARITY, meet: float = MEET, company: int = COMPANY) -> tuple[int, int, int]:
+    """Bits of an anchor, how many choices of bits, and the most bits that fingerprints may differ in.
+
+    Sets of one size and Jaccard similarity s have the cosine 2s / (1 + s), and each
+    bit differs with its angle's share of a half turn.
+    """
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = min(40, max(8, math.ceil(math.log2(max(2, count) / company))))
+    tables = math.ceil(math.log(1 - meet) / math.log(1 - (1 - apart) ** width))
+    return width, tables, math.ceil(64 * apart + 2.5 * math.sqrt(64 * apart * (1 - apart)))
+
+
+def candidate_links(fp: np.ndarray, node: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """For each row with others within max_bits: the nearest of them, the one with the smallest node, and the one that most rows are near to.
+
+    Three at most, however many there are: a cluster hangs together by what its rows
+    were copied from, which most of them are near to.
+    """
+    fp, out, near = fp.view(np.uint64), set(), np.zeros(len(fp), np.int64)
+    step = max(1, COMPARE_BLOCK // len(fp))
+    for at in range(0, len(fp), step):
+        near[at : at + step] = (np.bitwise_count(fp[at : at + step, None] ^ fp[None, :]) <= max_bits).sum(axis=1)
+    some = np.flatnonzero(near > 1)
+    if not len(some):
+        return []
+    fp, node, near = fp[some], node[some], near[some]
+    step = max(1, COMPARE_BLOCK // len(fp))
+    for at in range(0, len(fp), step):
+        mine = np.arange(at, min(at + step, len(fp)))
+        bits = np.bitwise_count(fp[mine][:, None] ^ fp[None, :])
+        bits[np.arange(len(mine)), mine] = 255
+        close = bits <= max_bits
+        best = [bits.argmin(axis=1), np.where(close, node[None, :], np.iinfo(np.int64).max).argmin(axis=1), np.where(close, near[None, :], -1).argmax(axis=1)]
+        for b in best:
+            a, b = node[mine], node[b]
+            out.update(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True))
+    return sorted(out)
+
+
+def shingle_set(raw: bytes, shingle: int) -> frozenset[int]:
+    words = raw.lower().split()
+    if not words:
+        return frozenset()
+    return frozenset(xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1)))
+
+
+def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links a, b (distinct) whose texts (node, text) have that Jaccard similarity of shingle sets or more."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, frozenset()
+        for batch in batches:
+            out = []
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b")), strict=True):
+                if b != last:
+                    last, mine = b, shingle_set(y, shingle)
+                other = shingle_set(x, shingle)
+                shared = len(mine & other)
+                if shared >= similarity * (len(mine) + len(other) - shared):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    of = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+    both = links.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+    return both.sortWithinPartitions("b").mapInArrow(judge, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
+    """doc_id, text_hash and component_id of every row of docs that has a doc_id: documents linked by a verified similarity."""
+    found = cut(document_fingerprints(docs, shingle, seed).filter("doc_id is not null"))
+    nodes = cut(found.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("fp", F.col("r.doc_id").alias("node"), "r.text_hash"))
+    width, tables, max_bits = stage_shape(nodes.count(), similarity)
+    search = lambda fp, node, home: candidate_links(fp, node, max_bits)
+    links = cut(by_anchor(anchored(nodes, random_cover(width, tables)), search).distinct())
+    asked = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = cut(join_checked(keyed, asked, ["node", "text_hash"], "left_semi").dropDuplicates(["node", "text_hash"]).select("node", "text"))
+    met = components(verified(links, texts, shingle, similarity))
+    named = nodes.join(met, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return found.join(named, "fp").select("doc_id", "text_hash", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, all their columns, whose doc_id is the smallest of its group of similar documents (and those without a doc_id)."""
+    gone = similar_documents(docs, shingle, similarity).filter("doc_id <> component_id")
+    name = fresh(docs, "text_hash")
+    gone = cut(gone.select(F.col("doc_id"), F.col("text_hash").alias(name)).distinct())
+    kept = join_checked(docs.withColumn(name, F.xxhash64("text")), gone, ["doc_id", name], "left_anti")
+    return kept.select(*docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
