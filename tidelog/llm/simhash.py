@@ -25,11 +25,12 @@ spanning forest of its links, never all pairs, so a group of n copies costs at
 most n - 1 links an anchor. Components are found by distributed star steps.
 
 `keep_first` is the stage for corpora: documents whose sets of five-word shingles
-have a Jaccard similarity of 0.8 or more. That is far in bits (about 10 of 64, up
-to 17), so anchors are words on randomly chosen bits, so many and so wide that a
-pair at the limit meets with 98 % and a fingerprint with some hundred others.
-What meets is verified on the shingles of whole texts; only verified links count,
-so documents that are merely alike stay.
+have a Jaccard similarity of 0.8 or more. That is far in bits (about 10 of 64), so
+anchors are words on randomly chosen bits, so many and so wide that a pair at the
+limit meets with 98 % and a fingerprint with some hundreds of others. Of those, a
+fingerprint of 128 bits leaves hardly any that are not alike (30 bits at most). What
+is left is verified on the shingles of whole texts; only verified links count, so
+documents that are merely alike stay.
 
 Defined cases: a text without a word (or null) has fingerprint zero, linked
 like any other; fewer words than a shingle make one shingle; a null doc_id is
@@ -53,6 +54,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, join_checked, slices, table, text_bytes
 from .graph import components
+from .substring import _mix
 
 #: Fixed values of the contract.
 SHINGLE = 4
@@ -78,8 +80,8 @@ COMPANY = 16
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The 64-bit fingerprint of each UTF-8 text, A-Z lower-cased."""
+def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, wide: bool = False) -> np.ndarray:
+    """The 64-bit fingerprint of each UTF-8 text, A-Z lower-cased; if wide, 64 bits more, from the same hashes mixed once again, in a second column."""
     digest = xxhash.xxh64_digest
     parts, counts = [], []
     for raw in texts:
@@ -94,8 +96,15 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -
         first = [0, *(ends[: n - shingle] + 1).tolist()]
         parts.append(b"".join([digest(line[a:b], seed) for a, b in zip(first, ends[shingle - 1 :].tolist(), strict=True)]))
         counts.append(n - shingle + 1)
-    out = np.zeros(len(texts), np.uint64)
-    rows = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 8)
+    hashes = np.frombuffer(b"".join(parts), ">u8")
+    first = _majority(hashes, counts)
+    return np.stack([first, _majority(_mix(hashes.astype(np.uint64)).astype(">u8"), counts)], axis=1) if wide else first
+
+
+def _majority(hashes: np.ndarray, counts: list[int]) -> np.ndarray:
+    """For each text, the bits that are set in over half its hashes."""
+    out = np.zeros(len(counts), np.uint64)
+    rows = hashes.view(np.uint8).reshape(-1, 8)
     if len(rows):
         ends = np.cumsum(counts)
         full = np.flatnonzero(counts)  # texts with a hash
@@ -113,17 +122,18 @@ def whole_ids(docs: DataFrame) -> None:
         raise TypeError("doc_id must be an integer")
 
 
-def document_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, text_hash (which tells rows of one doc_id apart) and fp (the fingerprint as a signed bigint)."""
+def document_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, wide: bool = False) -> DataFrame:
+    """doc_id, text_hash (which tells rows of one doc_id apart), fp (the fingerprint as a signed bigint) and, if wide, more."""
     whole_ids(docs)
+    names = ["fp", "more"] if wide else ["fp"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            fp = fingerprints(list(text_bytes(batch.column("text"))), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
+            fp = fingerprints(list(text_bytes(batch.column("text"))), shingle, seed, wide).view(np.int64).reshape(batch.num_rows, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x) for x in fp.T.copy())], ["doc_id", "text_hash", *names])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return read.mapInArrow(measure, "doc_id long, text_hash long, fp long")
+    return read.mapInArrow(measure, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names))
 
 
 class Golay:
@@ -196,17 +206,18 @@ def random_cover(width: int, tables: int) -> Cover:
 
 
 def anchored(nodes: DataFrame, cover: Cover) -> DataFrame:
-    """nodes (fp, node) at all their anchors: anchor, home, fp, node."""
+    """nodes (fp, node and other bigint columns) at all their anchors: anchor, home and the columns of nodes."""
+    names = nodes.columns
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 14):
                 part = batch.slice(at, 1 << 14)
-                fp, node = (part.column(k).to_numpy() for k in ("fp", "node"))
-                for index, anchor, home in cover(fp.view(np.uint64)):
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(home), pa.array(fp[index]), pa.array(node[index])], ["anchor", "home", "fp", "node"])
+                columns = [part.column(n).to_numpy() for n in names]
+                for index, anchor, home in cover(part.column("fp").to_numpy().view(np.uint64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(home), *(pa.array(c[index]) for c in columns)], ["anchor", "home", *names])
 
-    return nodes.select("fp", "node").mapInArrow(replicate, "anchor long, home boolean, fp long, node long")
+    return nodes.mapInArrow(replicate, "anchor long, home boolean, " + ", ".join(f"{n} long" for n in names))
 
 
 def anchor_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -244,17 +255,17 @@ def peel_links(fp: np.ndarray, node: np.ndarray, max_bits: int = MAX_BITS) -> li
     return links
 
 
-def by_anchor(found: DataFrame, search: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
-    """What search finds in each anchor's fp, node and home: links a, b. Rows come sorted by anchor, and an anchor is searched when its last row has come."""
+def by_anchor(found: DataFrame, names: tuple[str, ...], search: Callable[..., list[tuple[int, int]]]) -> DataFrame:
+    """What search finds in the columns `names` of each anchor: links a, b. Rows come sorted by anchor, and an anchor is searched when its last row has come."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
 
         def settle(found: pa.Table) -> pa.RecordBatch:
             anchor = found.column("anchor").to_numpy()
-            fp, node, home = (found.column(k).to_numpy() for k in ("fp", "node", "home"))
+            columns = [found.column(n).to_numpy() for n in names]
             cuts = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(anchor)]
-            links = [x for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for x in search(fp[a:b], node[a:b], home[a:b])]
+            links = [x for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for x in search(*(c[a:b] for c in columns))]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -284,14 +295,14 @@ def links_within(nodes: DataFrame, max_bits: int = MAX_BITS, most_rows: int = MO
     covers = [golay_cover(max_bits), parts_cover(max_bits, 2), parts_cover(max_bits, 4)]
     search, found = (lambda fp, node, home: anchor_links(fp, node, home, max_bits)), None
     for k, cover in enumerate(covers):
-        placed = anchored(nodes, cover)
+        placed = anchored(nodes.select("fp", "node"), cover)
         crowded = None
         if k + 1 < len(covers):
             sizes = cut(placed.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most_rows).select("anchor"))
             if sizes.head():
                 crowded = cut(join_checked(placed, sizes, ["anchor"], "left_semi").select("fp", "node").distinct())
                 placed = join_checked(placed, sizes, ["anchor"], "left_anti")
-        links = by_anchor(placed, search)
+        links = by_anchor(placed, ("fp", "node", "home"), search)
         found = links if found is None else found.unionByName(links)
         if crowded is None:
             break
@@ -313,7 +324,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, m
 
 
 def stage_shape(count: int, similarity: float = SIMILARITY, meet: float = MEET, company: int = COMPANY) -> tuple[int, int, int]:
-    """Bits of an anchor, how many choices of bits, and the most bits that fingerprints may differ in.
+    """Bits of an anchor, how many choices of bits, and the most bits of 128 that fingerprints may differ in.
 
     Sets of one size and Jaccard similarity s have the cosine 2s / (1 + s), and each
     bit differs with its angle's share of a half turn.
@@ -321,32 +332,34 @@ def stage_shape(count: int, similarity: float = SIMILARITY, meet: float = MEET,
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     width = min(40, max(8, math.ceil(math.log2(max(2, count) / company))))
     tables = math.ceil(math.log(1 - meet) / math.log(1 - (1 - apart) ** width))
-    return width, tables, math.ceil(64 * apart + 2.5 * math.sqrt(64 * apart * (1 - apart)))
+    return width, tables, math.ceil(128 * apart + 2.5 * math.sqrt(128 * apart * (1 - apart)))
 
 
-def candidate_links(fp: np.ndarray, node: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """For each row with others within max_bits: the nearest of them, the one with the smallest node, and the one that most rows are near to.
+def candidate_links(fp: np.ndarray, more: np.ndarray, node: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """For each row with others within max_bits of its 128: the nearest of them, the one with the smallest node, and the one that most rows are near to.
 
     Three at most, however many there are: a cluster hangs together by what its rows
     were copied from, which most of them are near to.
     """
-    fp, out, near = fp.view(np.uint64), set(), np.zeros(len(fp), np.int64)
+    both, out = (fp.view(np.uint64), more.view(np.uint64)), set()
+
+    def apart(mine: np.ndarray, among: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(x[mine][:, None] ^ x[among][None, :]) for x in both)
+
+    everyone, near = np.arange(len(fp)), np.zeros(len(fp), np.int64)
     step = max(1, COMPARE_BLOCK // len(fp))
     for at in range(0, len(fp), step):
-        near[at : at + step] = (np.bitwise_count(fp[at : at + step, None] ^ fp[None, :]) <= max_bits).sum(axis=1)
+        near[at : at + step] = (apart(everyone[at : at + step], everyone) <= max_bits).sum(axis=1)
     some = np.flatnonzero(near > 1)
-    if not len(some):
-        return []
-    fp, node, near = fp[some], node[some], near[some]
-    step = max(1, COMPARE_BLOCK // len(fp))
-    for at in range(0, len(fp), step):
-        mine = np.arange(at, min(at + step, len(fp)))
-        bits = np.bitwise_count(fp[mine][:, None] ^ fp[None, :])
-        bits[np.arange(len(mine)), mine] = 255
+    step = max(1, COMPARE_BLOCK // max(1, len(some)))
+    for at in range(0, len(some), step):
+        mine = some[at : at + step]
+        bits = apart(mine, some)
+        bits[np.arange(len(mine)), np.arange(at, at + len(mine))] = 255
         close = bits <= max_bits
-        best = [bits.argmin(axis=1), np.where(close, node[None, :], np.iinfo(np.int64).max).argmin(axis=1), np.where(close, near[None, :], -1).argmax(axis=1)]
+        best = [bits.argmin(axis=1), np.where(close, node[some][None, :], np.iinfo(np.int64).max).argmin(axis=1), np.where(close, near[some][None, :], -1).argmax(axis=1)]
         for b in best:
-            a, b = node[mine], node[b]
+            a, b = node[mine], node[some[b]]
             out.update(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True))
     return sorted(out)
 
@@ -381,11 +394,11 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
 def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
     """doc_id, text_hash and component_id of every row of docs that has a doc_id: documents linked by a verified similarity."""
-    found = cut(document_fingerprints(docs, shingle, seed).filter("doc_id is not null"))
-    nodes = cut(found.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("fp", F.col("r.doc_id").alias("node"), "r.text_hash"))
+    found = cut(document_fingerprints(docs, shingle, seed, wide=True).filter("doc_id is not null"))
+    nodes = cut(found.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "more")).alias("r")).select("fp", "r.more", F.col("r.doc_id").alias("node"), "r.text_hash"))
     width, tables, max_bits = stage_shape(nodes.count(), similarity)
-    search = lambda fp, node, home: candidate_links(fp, node, max_bits)
-    links = cut(by_anchor(anchored(nodes, random_cover(width, tables)), search).distinct())
+    placed = anchored(nodes.select("fp", "more", "node"), random_cover(width, tables)).drop("home")
+    links = cut(by_anchor(placed, ("fp", "more", "node"), lambda fp, more, node: candidate_links(fp, more, node, max_bits)).distinct())
     asked = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("text_hash"), "text")
     texts = cut(join_checked(keyed, asked, ["node", "text_hash"], "left_semi").dropDuplicates(["node", "text_hash"]).select("node", "text"))
