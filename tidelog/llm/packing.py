@@ -21,11 +21,11 @@ an empty table gives no rows. Columns other than doc_id and text are never read.
 
 from __future__ import annotations
 
+import secrets
 import sys
 import types
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import block_count, slices, table, text_bytes
+from .substring import _SPACE, _words
 
 #: Fixed values of the contract.
 CAPACITY = 4096
@@ -44,7 +45,7 @@ SHARD_BYTES = 24 << 20
 #: Tasks that shards are dealt to at most; a task packs its shards one after the other.
 MOST_TASKS = 20_000
 #: Words whose ids a worker remembers at once; only speed depends on it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 #: ASCII punctuation that the tokeniser always separates from a letter before it.
 TAIL = b".,;:!?)|"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
@@ -55,54 +56,98 @@ class WordTokenizer:
 
     The vocabulary's rules never join tokens across ASCII white space, and they
     lower-case, so the ids of a text are those of its lower-cased words one after
-    the other. Texts that may hold a special token's name, which is
-    case-sensitive, go to the tokeniser whole.
+    the other. Distinct words are told apart by 64-bit hashes with a seed of this
+    process; a worker remembers the ids of words that it met of late, as arrays.
+    Texts that may hold a special token's name, which is case-sensitive, go to the
+    tokeniser whole.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.cache: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_unit = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_unit[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        tails = self._encode([bytes([c]) for c in TAIL])
+        self.tail = {c: int(x[0]) for c, x in zip(TAIL, tails, strict=True) if len(x) == 1}
+        self.seed, self.turn = secrets.randbits(63), 0
+        self.hashes, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of known words, ascending; when each was last met
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
-
-    def _encode_words(self, words: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Words of letters only are one unit each to the tokeniser, so many are encoded as one line."""
-        letters, other = [], []
-        for w in words:
-            (letters if w.decode().isalpha() else other).append(w)
-        for at in range(0, len(letters), 1000):
-            part = letters[at : at + 1000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_unit[ids]) + 1
-            if len(ends) != len(part) or ends[-1] != len(ids):  # this tokeniser sees other letters than Python, or marks no ends
+        return [np.array(x.ids, "<u4") for x in found]
+
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has.
+
+        Words of letters only are one unit each to the tokeniser, so many are encoded
+        as one line; punctuation right after the last letter is a unit of its own.
+        """
+        ids: list = [None] * len(words)
+        lines, other = [], []
+        for i, w in enumerate(words):
+            tail = self.tail.get(w[-1]) if len(w) > 1 and w[-2] in _LETTERS else None
+            stem = w if tail is None else w[:-1]
+            (lines if stem.decode().isalpha() else other).append((i, stem, tail))
+        for at in range(0, len(lines), 1000):
+            part = lines[at : at + 1000]
+            (found,) = self._encode([b" ".join([stem for _, stem, _ in part])])
+            ends = np.flatnonzero(self.ends_unit[found]) + 1
+            if len(ends) != len(part) or ends[-1] != len(found):  # this tokeniser sees other letters than Python, or marks no ends
                 other += part
                 continue
-            ids, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-            yield from zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True)
-        yield from zip(other, self._encode(other), strict=True)
+            raw, cuts = found.tobytes(), [0, *(4 * ends).tolist()]
+            for (i, _, tail), a, b in zip(part, cuts, cuts[1:], strict=False):
+                ids[i] = raw[a:b] if tail is None else raw[a:b] + tail.to_bytes(4, "little")
+        for (i, _, _), found in zip(other, self._encode([words[i] for i, _, _ in other]), strict=True):
+            ids[i] = found.tobytes()
+        return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+    def _known(self, hashes: np.ndarray, word: Callable[[np.ndarray], list[bytes]]) -> np.ndarray:
+        """The places of distinct words (ascending hashes) among the known ones; word gives those of some of them, to learn."""
+        self.turn += 1
+        if len(self.hashes) > CACHE_WORDS:
+            self._forget()
+        at = np.searchsorted(self.hashes, hashes)
+        there = at < len(self.hashes)
+        there[there] = self.hashes[at[there]] == hashes[there]
+        missing = np.flatnonzero(~there)
+        if len(missing):
+            ids, size = self._encode_words(word(missing))
+            start = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, ids])
+            self.hashes, self.start, self.size, self.used = (np.insert(x, at[missing], new) for x, new in ((self.hashes, hashes[missing]), (self.start, start), (self.size, size), (self.used, self.turn)))
+            at = np.searchsorted(self.hashes, hashes)
+        self.used[at] = self.turn
+        return at
+
+    def _forget(self) -> None:
+        """Keeps the half of the words that were met last."""
+        keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        self.hashes, self.used, start, self.size = (x[keep] for x in (self.hashes, self.used, self.start, self.size))
+        ends = np.cumsum(self.size)
+        self.start = ends - self.size
+        self.ids = self.ids[np.repeat(start - self.start, self.size) + np.arange(self.size.sum())]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cache, split = self.cache, [None if b"<|" in x else x.lower().split() for x in texts]
-        distinct = set().union(*(x for x in split if x is not None))
-        tails = {w for w in distinct if len(w) > 1 and w[-1] in TAIL and w[-2] in _LETTERS}
-        plain = (distinct - tails).union({w[:-1] for w in tails}, {w[-1:] for w in tails})
-        missing = plain.difference(cache)
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            missing = plain
-        cache.update(self._encode_words(missing))
-        ids = {w: cache[w] for w in distinct - tails} | {w: cache[w[:-1]] + cache[w[-1:]] for w in tails}
-        whole = iter(self._encode([x for x, words in zip(texts, split, strict=True) if words is None]))
-        get = ids.__getitem__
-        return [next(whole) if words is None else b"".join(map(get, words)) for words in split]
+        special = [b"<|" in x for x in texts]
+        plain = [b"" if s else x.lower() for x, s in zip(texts, special, strict=True)]
+        blob = b"\n".join(plain) + b" " * 8
+        raw = np.frombuffer(blob, np.uint8)
+        edge = np.flatnonzero(np.diff((~_SPACE[raw]).view(np.int8), prepend=0, append=0))
+        first, end = edge[::2], edge[1::2]
+        hashes, at, word = np.unique(_words(raw, first, end, self.seed), return_index=True, return_inverse=True)
+        place = self._known(hashes, lambda some: [blob[a:b] for a, b in zip(first[at[some]].tolist(), end[at[some]].tolist(), strict=True)])
+        size, start = self.size[place][word], self.start[place][word]
+        ends = np.cumsum(size)
+        every = self.ids[np.repeat(start - (ends - size), size) + np.arange(size.sum())].tobytes()
+        stops = np.concatenate([[0], ends])[np.searchsorted(first, np.cumsum([len(x) + 1 for x in plain]))] * 4
+        whole = iter(self._encode([x for x, s in zip(texts, special, strict=True) if s]))
+        cuts = [0, *stops.tolist()]
+        return [next(whole).tobytes() if s else every[a:b] for s, a, b in zip(special, cuts, cuts[1:], strict=False)]
 
 
 def worker_tokenizer(definition: str) -> WordTokenizer:
