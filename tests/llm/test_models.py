@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -23,6 +24,34 @@ def test_held_out_language_accuracy(spark):
     assert len(apart) > 100 and np.mean(apart) > 0.97
 
 
+def test_language_matches_brute_force(spark):
+    """Each prediction trigram by trigram: damped counts, idf, unit length, the largest cosine of all centroids."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = langid.fit(docs, F.lit(True))
+    found = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for row in docs.limit(60).collect():
+        raw = f" {(row.text or '').lower()} ".encode()
+        plain = [c if 97 <= c <= 122 or c >= 128 else 32 for c in raw]
+        count = Counter()
+        for a, b, c in zip(plain, plain[1:], plain[2:], strict=False):
+            count[((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF) >> 20] += 1
+        x = {g: math.log(1 + k) * float(model.idf[g]) for g, k in count.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        cosine = [sum(v * float(c[g]) for g, v in x.items()) / norm for c in model.centroids]
+        best = max(range(len(cosine)), key=lambda i: cosine[i])
+        r = found[row.doc_id]
+        assert r.score == pytest.approx(cosine[best], abs=1e-5) and r.rejected == (r.score < model.floor[best])
+        assert r.lang_pred == model.languages[best] or sorted(cosine)[-1] - sorted(cosine)[-2] < 1e-6
+
+
+def test_language_ties_go_to_the_first_centroid(spark):
+    """Two languages with the same texts: every text ties, and the first by name is said, whatever columns there are besides."""
+    rows = [(i, f"same words {i % 5}", "xx" if i < 20 else "aa", None, None) for i in range(40)]
+    docs = table(spark, rows, ["lang_pred", "score", "rejected"])
+    found = langid.identify(docs, langid.fit(docs, F.lit(True))).collect()
+    assert {r.lang_pred for r in found} == {"aa"}
+
+
 def test_language_cases(spark, docs, empty):
     model = langid.fit(docs, F.lit(True))
     found = langid.identify(docs, model).collect()
@@ -51,6 +80,61 @@ def test_rates_solve_the_least_squares():
     assert (gradient[r <= 1e-6] > -1e-4).all() and (gradient[r >= 1 - 1e-6] < 1e-4).all()
 
 
+def brute_rates(p, n, targets, near_one=mixing.NEAR_ONE):
+    """Projected gradient without acceleration or bins, on all rows, until nothing moves."""
+    have = n @ p
+    want = targets * have[targets.argmax()] / targets.max()
+    r = np.ones(len(p))
+    for _ in range(6000):
+        r = np.maximum(0, r - 0.9 / (1 + near_one) * (p @ (((r * n) @ p - want) / have) + near_one * (r - 1)))
+    return r
+
+
+def test_mixing_matches_brute_force(spark):
+    """Posteriors of the classifier one by one, and rates by plain projected gradient."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = mixing.label_domains(spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    classifier = mixing.fit_classifier(docs, labels, tuple(mixing.TARGETS))
+    found = {r.doc_id: r for r in mixing.fit_mixture(docs, labels, mixing.TARGETS).collect()}
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    for i, raw in rows:
+        score = classifier.weights[-1].copy()
+        words = set(re.findall(rb"[0-9a-z\x80-\xff]+", raw.lower()))
+        for w in words:
+            if w in classifier.words:
+                score += classifier.weights[classifier.words[w]]
+        style = (np.array(mixing.style_of(raw, raw.split(), len(words))) - classifier.mean) / classifier.scale
+        for k, x in enumerate(style):
+            score += x * classifier.weights[len(classifier.words) + k]
+        p = np.exp(score - score.max())
+        assert found[i].posterior == pytest.approx((p / p.sum()).tolist(), abs=1e-9) and found[i].n_tokens == len(raw.split())
+    p, n = np.array([found[i].posterior for i, _ in rows]), np.array([found[i].n_tokens for i, _ in rows], float)
+    want = brute_rates(p, n, np.array(list(mixing.TARGETS.values())))
+    got = np.array([found[i].rate for i, _ in rows])
+    assert np.abs(got - want).max() < 0.05 * max(1, want.max())
+    assert np.abs((got * n) @ p / (got * n).sum() - (want * n) @ p / (want * n).sum()).max() < 0.002
+
+
+def test_bins_are_bounded_and_whole(spark):
+    rng = np.random.default_rng(1)
+    p, n = rng.dirichlet([0.5] * 4, 3000), rng.integers(0, 50, 3000)
+    known = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+    weight, mean = mixing.posterior_bins(known, 4, most=300)
+    assert len(weight) <= 300 and weight.sum() == n.sum()
+    assert np.allclose(weight @ mean, n @ p)
+
+
+def test_mixture_of_the_whole_table(spark):
+    """The targets themselves are out of reach where posteriors are soft; how near the exact optimum comes is known, and the fit is there."""
+    found = mixing.op10_target_mixing(spark, BIG).collect()
+    p, n = np.array([[r.p_good, r.p_poor, r.p_toxic] for r in found]), np.array([r.n_tokens for r in found], float)
+    r, targets = np.array([x.rate for x in found]), np.array([0.9, 0.1, 0.0])
+    best = brute_rates(p, n, targets)
+    share = lambda x: (x * n) @ p / (x * n).sum()
+    assert np.abs(share(r) - share(best)).max() < 0.002
+    assert np.abs(share(r) - targets).max() < 0.01
+
+
 def test_mixing_drops_toxic_and_keeps_clean(spark):
     found = mixing.op10_target_mixing(spark, BIG)
     assert found.count() == spark.read.parquet(f"{BIG}/documents.parquet").count()

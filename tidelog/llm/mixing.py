@@ -5,10 +5,13 @@ over domains. A nonnegative rate for each document is then fitted so that the
 expected tokens of each domain, sum(rate * tokens * posterior), come as near as
 possible to the targets in least squares, while rates stay near 1 (a weak
 ridge). A domain's residual counts relative to the tokens that it has, so that a
-rare domain is pulled to its target as hard as a common one. The fit is accelerated projected gradient: one step needs each domain's
-total only, so a step is one distributed sum over a small table of tokens and
-posteriors, and a document's rate follows from its own posterior and the few
-totals of the steps before. No document's state is shuffled or kept.
+rare domain is pulled to its target as hard as a common one. The fit is accelerated
+projected gradient: one step needs each domain's total only, and a document's rate
+follows from its own posterior and the few totals of the steps before, so no
+document's state is shuffled or kept. Documents of like posteriors move alike:
+their tokens are first summed in bins of a fixed grid, by one distributed
+aggregate of a bounded size, and most steps are taken on those. The last steps are
+exact, each a distributed sum over the small table of tokens and posteriors.
 
 Targets are shares of tokens; the domain with the largest share is to keep all
 its tokens, and the others follow. Rates are nonnegative; those of a domain that
@@ -34,6 +37,7 @@ Other columns than doc_id and text are carried along by `mix` alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +49,6 @@ from pyspark.sql import types as T
 
 from .common import cut, fresh, slices, table, text_bytes
 
-DOMAINS = ("good", "poor", "toxic")
 #: Shares of tokens that the mixture should have.
 TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
 
@@ -55,6 +58,10 @@ LEAST_DOCS = 8
 FIT_ROUNDS = 300
 RIDGE = 1e-4
 STEPS = 60
+#: Steps on the documents themselves, after those on bins of like posteriors.
+EXACT_STEPS = 6
+#: Bins at most: what comes to the driver for the steps on bins.
+MOST_BINS = 20_000
 #: Weight of keeping rates near 1 against meeting the targets.
 NEAR_ONE = 0.005
 #: No document is taken more often than this: by default targets are met, however often that repeats a document.
@@ -199,7 +206,20 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
 
-def fit_rates(known: DataFrame, targets: np.ndarray, steps: int = STEPS, near_one: float = NEAR_ONE, most: float = MOST) -> list[np.ndarray]:
+def posterior_bins(known: DataFrame, width: int, most: int = MOST_BINS) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each bin of the grid, and their mean posterior; there are most bins at most, whatever the documents."""
+    grid = 1  # shares are cut down to multiples of 1 / grid, so those of a bin sum to grid or up to width - 1 less
+    while grid < 256 and sum(math.comb(s + width - 1, width - 1) for s in range(max(0, grid + 2 - width), grid + 2)) <= most:
+        grid += 1
+    names = [F.element_at("posterior", i + 1) for i in range(width)]
+    keys = [F.floor(p * grid).alias(f"b{i}") for i, p in enumerate(names)]
+    tokens = F.col("n_tokens").cast("double")
+    found = known.groupBy(*keys).agg(F.sum(tokens).alias("n"), *[F.sum(tokens * p).alias(f"s{i}") for i, p in enumerate(names)]).filter("n > 0").toArrow()
+    n = found.column("n").to_numpy()
+    return n, np.stack([found.column(f"s{i}").to_numpy() for i in range(width)], axis=1) / n[:, None]
+
+
+def fit_rates(known: DataFrame, targets: np.ndarray, steps: int = STEPS, near_one: float = NEAR_ONE, most: float = MOST, exact_steps: int = EXACT_STEPS) -> list[np.ndarray]:
     """The pulls of all steps; known has n_tokens and posterior and was cut before."""
     width = len(targets)
     names = [f"d{i}" for i in range(width)]
@@ -216,14 +236,17 @@ def fit_rates(known: DataFrame, targets: np.ndarray, steps: int = STEPS, near_on
         found = small.mapInArrow(add, ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n) for n in names]).first()
         return np.array([x or 0.0 for x in found])
 
-    have = totals([])
+    weight, mean = posterior_bins(known, width)
+    have = weight @ mean
     if not have.sum():
         return []
     lead = int(targets.argmax())
     want = targets * have[lead] / targets[lead]
     mass = np.where(have > 0, have, np.inf)  # what no document belongs to pulls at none
-    pulls: list[np.ndarray] = [(have - want) / mass]
+    pulls: list[np.ndarray] = []
     while len(pulls) < steps:
+        pulls.append(((rates(mean, pulls, near_one, most)[1] * weight) @ mean - want) / mass)
+    for _ in range(exact_steps):
         pulls.append((totals(pulls) - want) / mass)
     return pulls
 
