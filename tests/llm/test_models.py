@@ -84,9 +84,9 @@ def brute_rates(p, n, targets, near_one=mixing.NEAR_ONE):
     """Projected gradient without acceleration or bins, on all rows, until nothing moves."""
     have = n @ p
     want = targets * have[targets.argmax()] / targets.max()
-    r = np.ones(len(p))
+    mass, r = np.maximum(have, want / mixing.REACH), np.ones(len(p))
     for _ in range(6000):
-        r = np.maximum(0, r - 0.9 / (1 + near_one) * (p @ (((r * n) @ p - want) / have) + near_one * (r - 1)))
+        r = np.clip(r - 0.9 / (1 + near_one) * (p @ (((r * n) @ p - want) / mass) + near_one * (r - 1)), 0, mixing.MOST)
     return r
 
 
@@ -374,6 +374,14 @@ def test_targets_are_met_where_a_domain_is_short(spark):
     assert np.abs(got / got.sum() - [0.9, 0.1, 0]).max() < 0.005 and r.min() >= 0 and r[:970].mean() > 0.97
 
 
+def test_a_domain_that_is_not_there_leaves_the_others_alone(spark):
+    """Nothing is poor: posteriors of a millionth, or one poor document among thousands."""
+    _, _, r = mixture_of(spark, [(1000, (1 - 2e-6, 1e-6, 1e-6))])
+    assert np.abs(r - 1).max() < 0.1
+    _, _, r = mixture_of(spark, [(3000, (0.999, 0.001, 0)), (1, (0, 1, 0))])
+    assert r[:3000].min() > 0.9 and r[:3000].max() < 1.2 and r[3000] <= mixing.MOST
+
+
 def test_mixture_of_a_table_meets_its_targets(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     labels = mixing.label_domains(spark.read.parquet(f"{BIG}/labels.parquet"))

@@ -15,8 +15,9 @@ exact, each a distributed sum over the small table of tokens and posteriors.
 
 Targets are shares of tokens; the domain with the largest share is to keep all
 its tokens, and the others follow. Rates are nonnegative; those of a domain that
-has fewer tokens than its share are above 1, so its documents are repeated. A
-`most` bounds rates where a caller would rather stay short of the targets.
+has fewer tokens than its share are above 1, so its documents are repeated, up to
+`most` times each. A domain that hardly any document belongs to cannot meet its
+target and must not distort the others: its residual counts less (REACH).
 `shares` tells the expected shares beside the targets.
 
 `copies` turns a rate into whole copies by a hash of doc_id: the whole part, and
@@ -64,8 +65,10 @@ EXACT_STEPS = 6
 MOST_BINS = 20_000
 #: Weight of keeping rates near 1 against meeting the targets.
 NEAR_ONE = 0.005
-#: No document is taken more often than this: by default targets are met, however often that repeats a document.
-MOST = np.inf
+#: A domain's residual counts relative to its tokens, or to its target over REACH if it has fewer: what is next to absent pulls at no other document.
+REACH = 5.0
+#: No document is taken more often than this; a domain that would need more is as good as absent, and stays short.
+MOST = 100.0
 
 _STRIP = bytes(x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 _CLASSES = [bytes(c for c in range(256) if c not in keep) for keep in (range(65, 91), range(48, 58), b"#*$%&|<>@{}[]", b"!?", b".,;:", range(128, 256), b"\n")]
@@ -242,7 +245,8 @@ def fit_rates(known: DataFrame, targets: np.ndarray, steps: int = STEPS, near_on
         return []
     lead = int(targets.argmax())
     want = targets * have[lead] / targets[lead]
-    mass = np.where(have > 0, have, np.inf)  # what no document belongs to pulls at none
+    mass = np.maximum(have, want / REACH)
+    mass[have <= 0] = np.inf  # what no document belongs to pulls at none
     pulls: list[np.ndarray] = []
     while len(pulls) < steps:
         pulls.append(((rates(mean, pulls, near_one, most)[1] * weight) @ mean - want) / mass)
