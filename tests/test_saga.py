@@ -62,6 +62,22 @@ def test_overdue(spark):
     assert late(29) == [] and late(30) == ["a"]
 
 
+def test_chains_of_any_length_have_roots(spark):
+    """A chain of over a hundred, a tree, a missing cause, a circle and what hangs on it."""
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(1000, None), (1001, 1000), (1002, 1000), (1003, 1001), (2000, 1999), (2001, 2000), (3000, 3002), (3001, 3000), (3002, 3001), (3003, 3002), (4000, 4000)]
+    found = saga.causation_roots(spark.createDataFrame(rows[::-1], "event_id long, causation_id long"))
+    assert found.dtypes == [("event_id", "bigint"), ("root", "bigint"), ("depth", "int")]
+    assert sorted(tuple(r) for r in found.collect()) == [(i, 0, i) for i in range(300)] + [(1000, 1000, 0), (1001, 1000, 1), (1002, 1000, 1), (1003, 1000, 2)]
+    assert saga.causation_roots(spark.createDataFrame([], "event_id long, causation_id long")).count() == 0
+
+
+def test_roots_of_over_a_million_messages(spark):
+    n = 1_200_000
+    messages = spark.range(n).select(F.col("id").alias("event_id"), F.when(F.col("id") % 6 > 0, F.col("id") - 1).alias("causation_id"))
+    found = saga.causation_roots(messages).agg(F.count("*"), F.count_if(F.expr("root <> event_id - event_id % 6 OR depth <> event_id % 6"))).first()
+    assert tuple(found) == (n, 0)
+
+
 def test_command_line(spark, tmp_path, capsys):
     assert cli.main([]) == 2 and "Queries:" in capsys.readouterr().out
     assert cli.main(["streams_distinct", "/root/testdata/sf0.001"]) == 0 and "seat-" in capsys.readouterr().out

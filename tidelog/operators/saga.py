@@ -10,6 +10,8 @@ memory.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -197,15 +199,33 @@ def bookings_view(events: DataFrame) -> DataFrame:
 # lineage
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by files in the folder that the session names for checkpoints. Where it names none, in a temporary one if all runs on this machine, else an error."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def causation_roots(messages: DataFrame) -> DataFrame:
-    """event_id, root and depth of messages (event_id, causation_id): chains walked from those that nothing caused, one step a round of the recursion.
+    """event_id, root and depth of messages (event_id, causation_id): each looks up its cause, then its cause's cause, and so twice as far a round.
 
-    A message whose cause is not in the table has no row, nor has one in a circle.
+    Chains of any length and number: a chain of n takes about log2(n) rounds, and
+    what has met its root is not moved again. A message whose cause is not in the
+    table has no row, nor has one in a circle, which is what is left once a round
+    brings no message to its end.
     """
-    return messages.sparkSession.sql(
-        """WITH RECURSIVE m AS (SELECT * FROM {messages}), chain AS (
-             SELECT event_id, event_id AS root, 0 AS depth FROM m WHERE causation_id IS NULL
-             UNION ALL SELECT m.event_id, chain.root, chain.depth + 1 FROM chain JOIN m ON m.causation_id = chain.event_id)
-           SELECT event_id, root, depth FROM chain""",
-        messages=messages,
-    )
+    cause = F.col("causation_id")
+    root = F.when(cause.isNull(), F.col("event_id"))
+    reach = _cut(messages.select("event_id", root.alias("root"), cause.alias("up"), F.when(cause.isNull(), 0).otherwise(1).alias("depth")))
+    left, before = reach.filter("up IS NOT NULL").select("event_id").distinct().count(), None
+    while left and left != before:
+        met = reach.select(F.col("event_id").alias("_at"), F.col("root").alias("_root"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        moved = reach.filter("up IS NOT NULL").join(met, F.col("up") == F.col("_at"))
+        moved = moved.select("event_id", F.col("_root").alias("root"), F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        reach = _cut(reach.filter("up IS NULL").unionByName(moved))
+        left, before = reach.filter("up IS NOT NULL").select("event_id").distinct().count(), left
+    return reach.filter("up IS NULL").select("event_id", "root", "depth")
