@@ -168,6 +168,34 @@ def test_the_stage_takes_similar_documents_and_leaves_the_rest(spark):
     assert kept == {i for i, c in found.items() if i == c}
 
 
+@pytest.mark.parametrize(("seed", "rows_of_block"), [(0, 512), (3, 7), (6, 30)])
+def test_a_crowd_of_near_texts_loses_no_similar_pair(spark, seed, rows_of_block):
+    """80 texts, all within the bits of the stage; those over and under the limit are mixed, so three partners a row are too few."""
+    rng = random.Random(seed)
+    words, rows = prose(rng, 400).split(), []
+    for i in range(80):
+        mine = list(words)
+        for at in rng.sample(range(400), 5):
+            mine[at] = f"w{rng.randint(0, 10**9)}"
+        rows.append((i, " ".join(mine), "en", "s", 0))
+    rows += [(100 + i, prose(rng, 100), "en", "s", 0) for i in range(10)]
+    label = {r[0]: r[0] for r in rows}
+    sets = {r[0]: simhash.shingle_set(r[1].encode(), 5) for r in rows}
+    pairs = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        a, b = sorted((label[i], label[j]))
+        label = {k: a if x == b else x for k, x in label.items()}
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(table(spark, rows), rows_of_block=rows_of_block).collect()}
+    assert len(pairs) > 400 and found == label
+
+
+def test_few_near_rows_are_all_candidates_and_more_are_marked():
+    fp = np.array([0, 1, 2, 4, *(1 << 40 ^ 1 << k for k in range(6)), -1], np.int64) ^ np.array([0] * 4 + [0x0F0F0F0F] * 6 + [0], np.int64)
+    found = set(simhash.candidate_links(fp, fp, np.arange(11), 8))
+    assert {(i, j) for i in range(4) for j in range(i)} == {(a, b) for a, b in found if a < 4}
+    assert {a for a, b in found if a == b} == set(range(4, 10)) and all(4 <= b for a, b in found if a >= 4)
+
+
 def test_a_row_of_a_shared_id_goes_by_its_own_text(spark):
     rng = random.Random(6)
     one, two = prose(rng, 200), prose(rng, 200)
