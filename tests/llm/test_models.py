@@ -381,6 +381,77 @@ def test_lm_weights_are_those_of_all_texts_at_once():
     assert np.abs(before.solved(before.sums) - want).max() < 0.02
 
 
+def test_lm_adds_what_comes_again_once(language, monkeypatch):
+    """A text that comes 20 times takes no more additions than one, and counts 20 times."""
+    tree, added = language[0].tree, []
+
+    class Add:
+        def at(self, table, at, n):
+            added.append(len(at))
+            np.add.at(table, at, n)
+
+        def __getattr__(self, name):
+            return getattr(np.add, name)
+
+    class Numpy:
+        add = Add()
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    def tables(texts):
+        added.clear()
+        out = [np.zeros(2 << lm.CELL_BITS, np.uint32) for _ in range(lm.CONTEXTS + 1)]
+        lm.add_counts(out, tree, lm.Words([t.encode().lower() for t in texts]))
+        return out, sum(added)
+
+    monkeypatch.setattr(lm, "np", Numpy())
+    (one, few), (many, all_) = tables([LM_TEXTS[5]]), tables([LM_TEXTS[5]] * 20)
+    assert few >= all_ > 0 and all((20 * a == b).all() for a, b in zip(one, many, strict=True))
+
+
+def test_lm_tally_matches_brute_force(language, monkeypatch):
+    """Decision by decision, and byte by byte, however often the tables are added to."""
+    model, tree = language[0], language[0].tree
+    texts = [*LM_TEXTS[:6], LM_TEXTS[0], "", " a  b\n", "x" * 3000]
+    monkeypatch.setattr(lm, "TALLY_KEYS", 100)
+    monkeypatch.setattr(lm, "TALLY_AT_ONCE", 7)
+    found = [np.zeros(2 << lm.CELL_BITS, np.uint32) for _ in range(lm.CONTEXTS + 1)]
+    tally = lm.Tally(found, tree)
+    for part in (texts[:3], texts[3:4], [], texts[4:]):
+        tally.add(lm.Words([t.encode().lower() for t in part]))
+    tally.close()
+    want = [Counter() for _ in range(lm.CONTEXTS)]
+    for text in texts:
+        for symbol, _, contexts in brute_symbols(model, text):
+            for place in range(tree.first[symbol], tree.first[symbol] + tree.length[symbol]):
+                for k, c in enumerate(contexts):
+                    want[k][(c ^ int(tree.hash[place])) << 1 | int(tree.bit[place])] += 1
+    assert all({int(i): int(t[i]) for i in np.flatnonzero(t)} == w for t, w in zip(found, want, strict=False))
+    vocabulary, spelled = set(tree.words.tolist()), Counter()
+    for text in texts:
+        for word in text.encode().lower().split():
+            if int((w := lm.Words([word])).hash[0]) not in vocabulary:
+                before = [0, 0, 0, int(w.cls[0])]  # the bytes before, the last one last
+                for byte in [*word, lm._STOP]:
+                    spelled[(before[-1] << 8) + byte] += 1
+                    before.append(byte)
+    after_one = found[-1][lm._AFTER[3] : lm._GAPS]
+    assert {int(i): int(after_one[i]) for i in np.flatnonzero(after_one)} == spelled
+    assert all(found[-1][a:b].sum() == sum(spelled.values()) for a, b in zip(lm._AFTER, lm._AFTER[1:], strict=False))
+
+
+def test_lm_finds_words_as_a_search_does(language):
+    tree = language[0].tree
+    rng = np.random.default_rng(3)
+    asked = np.concatenate([tree.words, tree.words + np.uint64(1), tree.words - np.uint64(1), rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), np.array([0, (1 << 64) - 1], np.uint64)])
+    at, inside = tree.find(asked)
+    assert (inside == np.isin(asked, tree.words)).all() and (tree.words[at[inside]] == asked[inside]).all() and inside.sum() >= len(tree.words)
+    for hashes in (asked, asked[:1], asked[:0], np.repeat(asked, 3)):
+        known, place, number = lm.distinct(hashes)
+        assert (known == np.unique(hashes)).all() and (hashes[place] == known).all() and (known[number] == hashes).all()
+
+
 def test_lm_white_space_and_hard_texts(language):
     _, _, spelling, _ = language
     texts = [b"", b" ", b"a", b"a b", b" a b ", b"a\t\n b", b"a  b"]

@@ -34,8 +34,9 @@ What is learned, over all training texts:
   ones. This grows with the corpus without a bound.
 * tables of the hashed contexts, the spelling and the white space, of fixed size:
   the contexts are some thousands of words, classes or endings, so what they need
-  does not grow with the corpus. Tasks count into tables that are summed slice
-  by slice, in two steps where there are many tasks. One byte a cell, they are
+  does not grow with the corpus. Tasks count into tables, equal symbols in equal
+  contexts together, and the tables are summed slice by slice, in two steps where
+  there are many tasks. One byte a cell, they are
   broadcast together with the tree (40 MB).
 * first weights and the first correction. Training texts are in two halves, each with
   tables of its own (the model has their sum), and every text is read with the
@@ -78,6 +79,9 @@ CELL_BITS = 22
 SLICES = 64
 #: Nodes of the tree whose course in a text is followed.
 FOLLOWED = 512
+FOLLOWED_BITS = FOLLOWED.bit_length()
+#: By so many first bits of its hash a word is looked up in the tree.
+SLOT_BITS = 17
 INPUTS = CONTEXTS + 2
 AGES = (32, 256)
 GATES = 2 * (len(AGES) + 1)
@@ -97,6 +101,8 @@ FIT_BYTES = 1 << 19
 BLOCK_BYTES = 4 << 20
 GROUP_TOKENS = 1 << 20
 SCORE_BYTES = 1 << 19
+#: What a counting task keeps for each table before it adds it, and how much it adds at once.
+TALLY_KEYS, TALLY_AT_ONCE = 1 << 19, 1 << 14
 #: Text that one counting task should have at least, as each sends a whole table.
 COUNT_BYTES = 512 << 20
 #: Counting tasks whose tables are summed at once; more are summed in two steps.
@@ -111,6 +117,11 @@ _STOP = 0x20  # what closes a spelled word, and a gap: no word holds it
 _WHITE_BYTES = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]
 
 
+#: Whether a byte is inside a word; a number's lowest bytes, by how many.
+_INSIDE = (~_SPACE).astype(np.uint8).tobytes()
+_LOW = (1 << 8 * np.arange(6)) - 1
+
+
 class Tree:
     """A prefix code for symbols (words of the vocabulary by ascending hash, classes, the end), and what the corpus did at its nodes."""
 
@@ -151,13 +162,33 @@ class Tree:
         self.base[: min(n, FOLLOWED)] = odds[:FOLLOWED]
         self.odds = odds[node].astype(np.float32)
         self.followed = np.minimum(node, FOLLOWED)
-        self.hash = (_mix(node.astype(np.uint64) + np.uint64(1 << 50)) >> np.uint64(64 - CELL_BITS)).astype(np.int32)
+        self.hash = (_mix(node.astype(np.uint64) + np.uint64(1 << 50)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        # hash, followed and bit of each step in one number, which costs one look instead of three
+        self.branch = self.hash << 1 | self.bit
+        self.packed = (self.hash << FOLLOWED_BITS | self.followed) << 1 | self.bit
+        # where in words hashes that begin with some bits are
+        self.slot = np.searchsorted(words, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash in words, and whether it is there."""
+        n = len(self.words)
+        if not n:
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = self.slot[(hashes >> np.uint64(64 - SLOT_BITS)).view(np.int64)]
+        at[at == n] = n - 1
+        inside = self.words[at] == hashes
+        behind = np.flatnonzero(self.words[at] < hashes)  # others share its bits, or it is not there
+        later = np.minimum(np.searchsorted(self.words, hashes[behind]), n - 1)
+        at[behind], inside[behind] = later, self.words[later] == hashes[behind]
+        return at, inside
 
     def steps(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many decisions each symbol takes, and their places in the tree's lists, one symbol after the other."""
         size = self.length[symbol]
         ends = np.cumsum(size)
-        return size, np.repeat(self.first[symbol] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        place = np.repeat(self.first[symbol] - (ends - size), size)
+        place += np.arange(len(place))
+        return size, place
 
 
 class Words:
@@ -165,23 +196,25 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         self.count = len(texts)
-        self.raw = raw = np.frombuffer(b"\n".join(texts) + b"\n" + b" " * 8, np.uint8)
+        joined = b"\n".join(texts) + b"\n" + b" " * 8
+        self.raw = raw = np.frombuffer(joined, np.uint8)
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.ends = np.cumsum(size)  # past the separator of each text
         self.starts = self.ends - size
-        edge = np.flatnonzero(np.diff((~_SPACE[raw]).view(np.int8), prepend=0, append=0))
+        edge = np.flatnonzero(np.diff(np.frombuffer(joined.translate(_INSIDE), np.int8), prepend=0, append=0))
         self.first, self.end = edge[::2], edge[1::2]
         self.hash = _words(raw, self.first, self.end, 0)
-        self.doc = np.searchsorted(self.ends, self.first, "right")
+        self.doc = np.repeat(np.arange(self.count), np.diff(np.searchsorted(self.first, self.ends), prepend=0))
         second = np.where(self.end - self.first > 1, raw[self.first + 1], 0).astype(np.uint64)
         self.cls = (_mix(raw[self.first].astype(np.uint64) << np.uint64(8) | second) >> np.uint64(59)).astype(np.int64)
 
-    def _back(self, k: int) -> np.ndarray:
-        """The k-th byte from the end of each word, or 0."""
-        return np.where(self.end - self.first >= k, self.raw[np.maximum(self.end - k, 0)], 0)
+    def until(self, at: np.ndarray) -> np.ndarray:
+        """Of each place in raw the seven bytes before it and its own, which is the lowest."""
+        return np.ndarray(len(self.raw), ">u8", bytes(7) + self.raw.tobytes(), strides=(1,))[at].astype(np.int64)
 
     def endings(self) -> np.ndarray:
-        return self._back(1).astype(np.int64) | self._back(2).astype(np.int64) << 8 | self._back(3).astype(np.int64) << 16
+        """The last three bytes of each word, or as many as it has; the last is the lowest."""
+        return self.until(self.end - 1) & _LOW[np.minimum(self.end - self.first, 3)]
 
     def gaps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """White space before each word and at the end of each text: its first place and end in raw, its text, and the last byte before (256: none)."""
@@ -210,14 +243,13 @@ class Sequence:
 
     def __init__(self, tree: Tree, words: Words):
         n, texts = len(words.hash), words.count
-        at = np.minimum(np.searchsorted(tree.words, words.hash), max(0, len(tree.words) - 1))
-        self.inside = tree.words[at] == words.hash if len(tree.words) else np.zeros(n, bool)
+        at, self.inside = tree.find(words.hash)
         total = n + texts
         place = np.arange(n) + words.doc
         size = np.bincount(words.doc, minlength=texts) + 1
         self.first, self.size = np.cumsum(size) - size, size
         doc = np.repeat(np.arange(texts), size)
-        self.symbol = np.full(total, tree.symbols - 1, np.int32)
+        self.symbol = np.full(total, tree.symbols - 1, np.int64)
         self.symbol[place] = np.where(self.inside, at, len(tree.words) + words.cls)
         rank = np.where(self.inside, tree.rank[at] if len(tree.words) else 0, 1 << 30)
 
@@ -241,28 +273,35 @@ class Sequence:
         ranks[place] = np.minimum(rank, FREQUENT)
         word[met] = ranks[last[met]]
         keys = (np.where(self.after_known, before, KNOWN_BEFORE + c1), c1 * 64 + c2, behind(words.endings(), 1, 1 << 24), word * 64 + c1)
-        self.contexts = [(_mix(x.astype(np.uint64) + np.uint64(k + 1 << 40)) >> np.uint64(64 - CELL_BITS)).astype(np.int32) for k, x in enumerate(keys)]
+        self.contexts = [(_mix(x.astype(np.uint64) + np.uint64(k + 1 << 40)) >> np.uint64(64 - CELL_BITS)).astype(np.int64) for k, x in enumerate(keys)]
 
 
-def spelled(words: Words, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For each byte of the words `which` and the stop after them: its number in which, and its places in the counts after 4, 3, 2 and 1 bytes. A word's class stands before its first byte."""
+def spelling(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the words `which` and the stop after them: its number in which, and the byte with the four before it, itself the lowest. A word's class stands before its first byte."""
     size = words.end[which] - words.first[which] + 1
     owner = np.repeat(np.arange(len(which)), size)
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    at = words.first[which][owner] + inside
-    byte = np.where(inside == size[owner] - 1, _STOP, words.raw[at]).astype(np.int64)
-    cls = words.cls[which][owner]
-    history, places = np.zeros(len(at), np.int64), []
-    for k in range(1, 5):
-        back = np.where(inside >= k, words.raw[np.maximum(at - k, 0)], np.where(inside == k - 1, cls, 0))
-        history = history | back.astype(np.int64) << 8 * (k - 1)
-        if k == 1:
-            places.append(_AFTER[3] + (history << 8) + byte)
-        else:
-            bits = SPELL_BITS[4 - k]
-            row = (_mix(history.astype(np.uint64) + np.uint64(k << 40)) >> np.uint64(64 - bits)).astype(np.int64)
-            places.append(_AFTER[4 - k] + (row << 8) + byte)
-    return owner, places[::-1]
+    bytes_ = words.until(words.first[which][owner] + inside)
+    stop = np.cumsum(size) - 1
+    bytes_[stop] = bytes_[stop] & ~255 | _STOP
+    seen = np.minimum(inside, 4)
+    return owner, bytes_ & _LOW[seen + 1] | (words.cls[which][owner] << 8 * (seen + 1)) & _LOW[5]
+
+
+def spelled_places(bytes_: np.ndarray) -> list[np.ndarray]:
+    """Places in the counts of a byte after the 4, 3, 2 and 1 before it."""
+    byte, history = bytes_ & 255, bytes_ >> 8
+    places = []
+    for k, bits in zip((4, 3, 2), SPELL_BITS, strict=True):
+        row = (_mix((history & _LOW[k]).astype(np.uint64) + np.uint64(k << 40)) >> np.uint64(64 - bits)).astype(np.int64)
+        places.append(_AFTER[4 - k] + (row << 8) + byte)
+    return [*places, _AFTER[3] + ((history & 255) << 8) + byte]
+
+
+def spelled(words: Words, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each byte of the words `which` and the stop after them: its number in which, and its places in the counts."""
+    owner, bytes_ = spelling(words, which)
+    return owner, spelled_places(bytes_)
 
 
 @dataclass
@@ -324,7 +363,7 @@ class Model:
     refine: np.ndarray  # of each bucket of log-odds: how often it came true
 
     def decisions(self, words: Words, sequence: Sequence) -> Iterator[tuple]:
-        """Chunk by chunk of all texts at once: the texts that go on; of each token its text (its number among them), gate and how many decisions; of each decision its inputs and bit."""
+        """Chunk by chunk of all texts at once: the texts that go on; the first gate, and how many decisions are at it (the others are at the next); of each run of decisions at one gate of one text its text (its number among them), gate and size; of each decision its inputs and bit; and whether any text has more."""
         tree = self.tree
         at, end = sequence.first.copy(), sequence.first + sequence.size
         base = 1 / (1 + np.exp(-tree.base))
@@ -334,28 +373,42 @@ class Model:
             stop = np.minimum(at[live] + step, end[live])
             size = stop - at[live]
             token = np.repeat(at[live] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            text = np.repeat(np.arange(len(live)), size)
-            gate = 2 * int(np.searchsorted(AGES, age, "right")) + sequence.after_known[token]
+            known = sequence.after_known[token]
+            order = np.concatenate([np.flatnonzero(~known), np.flatnonzero(known)])
+            token, text = token[order], np.repeat(np.arange(len(live)), size)[order]
             steps, place = tree.steps(sequence.symbol[token])
-            owner = np.repeat(text, steps)
-            bit, odds0 = tree.bit.take(place), tree.odds.take(place)
-            x = [odds0]
-            hashed = tree.hash.take(place)
-            for context, cells in zip(sequence.contexts, self.cells, strict=True):
-                cell = cells.take(np.repeat(context.take(token), steps) ^ hashed)
-                value = np.multiply(cell, np.float32(1 / SCALE), dtype=np.float32)
+            packed = tree.packed.take(place, mode="wrap")  # all places are inside: the quickest of modes
+            bit, hashed = packed & 1, packed >> FOLLOWED_BITS + 1
+            x = np.empty((INPUTS, len(place)), np.float32)
+            x[0] = tree.odds.take(place, mode="wrap")
+            for value, context, cells in zip(x[1:], sequence.contexts, self.cells, strict=False):
+                key = np.repeat(context[token], steps)
+                key ^= hashed
+                cell = cells.take(key, mode="wrap")
+                value[:] = cell
+                value *= np.float32(1 / SCALE)
                 unseen = cell == UNSEEN
                 if unseen.any():
-                    np.copyto(value, odds0, where=unseen)
-                x.append(value)
-            count = own[live, :FOLLOWED]
-            turn = np.zeros((len(live), FOLLOWED + 1), np.float32)
-            turn[:, :-1] = np.log((count[:, :, 1] + np.float32(PRIOR_COUNT) * base) / (count[:, :, 0] + np.float32(PRIOR_COUNT) * (1 - base))) - tree.base
-            followed = owner * (FOLLOWED + 1) + tree.followed.take(place)
-            x.append(turn.ravel().take(followed))
-            yield live, text, gate, steps, owner, x, bit
-            both = np.bincount(2 * followed + bit, minlength=2 * len(live) * (FOLLOWED + 1))
-            own[live] += both.reshape(len(live), FOLLOWED + 1, 2).astype(own.dtype)
+                    np.copyto(value, x[0], where=unseen)
+            followed = np.repeat(text * (FOLLOWED + 1), steps)
+            followed += (packed >> 1) & ((1 << FOLLOWED_BITS) - 1)
+            if age:
+                count = own[live, :FOLLOWED]
+                turn = np.zeros((len(live), FOLLOWED + 1), np.float32)
+                turn[:, :-1] = np.log((count[:, :, 1] + np.float32(PRIOR_COUNT) * base) / (count[:, :, 0] + np.float32(PRIOR_COUNT) * (1 - base))) - tree.base
+                x[-1] = turn.ravel().take(followed, mode="wrap")
+            else:
+                x[-1] = 0
+            least = len(known) - int(known.sum())
+            run = text.copy()
+            run[least:] += len(live)
+            opens = np.flatnonzero(np.diff(run, prepend=-1))
+            gate = 2 * int(np.searchsorted(AGES, age, "right"))
+            more = bool((stop < end[live]).any())
+            yield live, gate, int(steps[:least].sum()), text[opens], gate + (opens >= least), np.add.reduceat(steps, opens), x, bit, more
+            if more:
+                both = np.bincount(2 * followed + bit, minlength=2 * len(live) * (FOLLOWED + 1))
+                own[live] += both.reshape(len(live), FOLLOWED + 1, 2)
             at[live] = stop
             age, step = age + step, min(2 * step, MOST_CHUNK)
 
@@ -364,25 +417,33 @@ class Model:
         sequence, cost = Sequence(self.tree, words), np.zeros(words.count)
         weights = np.repeat(self.weights[None], words.count, axis=0)
         true = np.zeros((words.count, BUCKETS, 2))
-        for live, text, gate, steps, owner, x, bit in self.decisions(words, sequence):
-            gate = text * GATES + gate
-            mine = np.ascontiguousarray(weights[live].reshape(-1, INPUTS).T)
+        for live, _, _, text, gate, size, x, bit, more in self.decisions(words, sequence):
+            mine = np.ascontiguousarray(weights[live[text], gate].T)
             odds = np.zeros(len(bit), np.float32)
             for w, value in zip(mine, x, strict=True):
-                odds += np.repeat(w.take(gate), steps) * value
+                part = np.repeat(w, size)
+                part *= value
+                odds += part
             np.clip(odds, -LIMIT, LIMIT, out=odds)
             bucket = ((odds + np.float32(LIMIT)) * np.float32(2) + np.float32(0.5)).astype(np.int64)
             came = true[live]
             shown = (came[:, :, 1] + PRIOR_TRUE * self.refine) / (came.sum(axis=2) + PRIOR_TRUE)
-            bucket += owner * BUCKETS
-            final = np.float32(0.5) * (odds + _logit(shown).astype(np.float32).ravel().take(bucket))
-            sign = np.where(bit, np.float32(1), np.float32(-1))
-            first = np.cumsum(steps) - steps
-            cost[live] += np.bincount(text, np.add.reduceat(np.log1p(np.exp(-sign * final)), first, dtype=np.float64), len(live))
-
-            wrong = sign / (1 + np.exp(sign * odds))  # the bit less its probability
+            bucket += np.repeat(text * BUCKETS, size)
+            sign = (2 * bit - 1).astype(np.float32)
+            final = odds + _logit(shown).astype(np.float32).ravel().take(bucket, mode="wrap")
+            final *= sign
+            final *= np.float32(-0.5)
+            first = np.cumsum(size) - size
+            cost[live] += np.bincount(text, np.add.reduceat(np.log1p(np.exp(final, out=final), out=final), first, dtype=np.float64), len(live))
+            if not more:
+                continue
+            odds *= sign
+            wrong = np.exp(odds, out=odds)
+            wrong += np.float32(1)
+            np.divide(sign, wrong, out=wrong)  # the bit less its probability
+            gate = text * GATES + gate
             pull = np.stack([np.bincount(gate, np.add.reduceat(wrong * value, first), len(live) * GATES) for value in x], axis=1)
-            n = np.bincount(gate, steps, len(live) * GATES) + PRIOR_DECISIONS
+            n = np.bincount(gate, size, len(live) * GATES) + PRIOR_DECISIONS
             weights[live] += (pull / n[:, None]).reshape(len(live), GATES, INPUTS).astype(np.float32)
             true[live] += np.bincount(2 * bucket + bit, minlength=2 * len(live) * BUCKETS).reshape(len(live), BUCKETS, 2)
         return cost / math.log(2), sequence.inside
@@ -425,10 +486,12 @@ class Fit:
         for gate, x, bit in decisions:
             w = self.weights[gate]
             odds = np.clip(w.astype(np.float32) @ x, -LIMIT, LIMIT)
-            p = 1 / (1 + np.exp(-odds))
+            p = np.exp(-odds)
+            p += np.float32(1)
+            np.divide(np.float32(1), p, out=p)
             bend = ((x * (p * (1 - p) + np.float32(1e-6))) @ x.T).astype(np.float64)
             curve[gate] += bend
-            pull[gate] += bend @ w + x @ (bit - p)
+            pull[gate] += bend @ w + x @ (bit.astype(np.float32) - p)
             bent[gate] += bend @ w
             twice[gate] += w @ bend @ w
             bucket = ((odds + np.float32(LIMIT)) * np.float32(2) + np.float32(0.5)).astype(np.int64)
@@ -455,11 +518,10 @@ class Fit:
 
 
 def _by_gate(chunks: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for _, _, gate, steps, _, x, bit in chunks:
-        x, each = np.stack(x), np.repeat(gate, steps)
-        for g in np.unique(gate):
-            mine = each == g
-            yield int(g), np.compress(mine, x, axis=1), bit[mine]
+    for _, gate, least, _, _, _, x, bit, _ in chunks:
+        for g, part in ((gate, slice(0, least)), (gate + 1, slice(least, None))):
+            if len(bit[part]):
+                yield g, x[:, part], bit[part]
 
 
 def tune(tree: Tree, cells: list[np.ndarray], texts: list[bytes]) -> Model:
@@ -501,20 +563,61 @@ def fit_weights(docs: DataFrame, tree: Tree, halves: list[list[np.ndarray]]) ->
     return fit
 
 
+class Tally:
+    """Adds what texts show to the tables of counts: decisions in each context, and in the last table bytes of words outside the tree and white space.
+
+    What a symbol in a context, or a byte after four, adds is always the same, so
+    these are kept until there are many, and equal ones are added together.
+    """
+
+    def __init__(self, tables: list[np.ndarray], tree: Tree):
+        self.tables, self.tree = tables, tree
+        self.symbol_bits = tree.symbols.bit_length()
+        self.kept: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS + 1)]
+
+    def add(self, words: Words) -> None:
+        sequence, other = Sequence(self.tree, words), self.tables[-1]
+        for k, keys in enumerate(sequence.contexts):
+            self._keep(k, keys << self.symbol_bits | sequence.symbol)
+        self._keep(CONTEXTS, spelling(words, np.flatnonzero(~sequence.inside))[1])
+        start, end, _, before = words.gaps()
+        plain = words.plain(start, end)
+        size = np.where(plain, 0, end - start)
+        white = words.raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        for at, n in ((_GAPS, np.bincount(2 * before + plain)), (_WHITE, np.bincount(white))):
+            other[at : at + len(n)] += n.astype(np.uint32)
+        other[_WHITE] += np.uint32((~plain).sum())
+
+    def _keep(self, k: int, keys: np.ndarray) -> None:
+        self.kept[k].append(keys)
+        if sum(map(len, self.kept[k])) >= TALLY_KEYS:
+            self._pour(k)
+
+    def _pour(self, k: int) -> None:
+        keys, self.kept[k] = np.sort(np.concatenate([np.zeros(0, np.int64), *self.kept[k]])), []
+        opens = np.flatnonzero(np.diff(keys, prepend=-1))
+        every, times = keys[opens], np.diff(opens, append=len(keys)).astype(np.uint32)
+        for a in range(0, len(every), TALLY_AT_ONCE):
+            key, n = every[a : a + TALLY_AT_ONCE], times[a : a + TALLY_AT_ONCE]
+            if k == CONTEXTS:
+                for place in spelled_places(key):
+                    np.add.at(self.tables[-1], place, n)
+            else:
+                steps, place = self.tree.steps(key & (1 << self.symbol_bits) - 1)
+                cell = np.repeat(key >> self.symbol_bits << 1, steps)
+                cell ^= self.tree.branch.take(place, mode="wrap")
+                np.add.at(self.tables[k], cell, np.repeat(n, steps))
+
+    def close(self) -> None:
+        for k in range(CONTEXTS + 1):
+            self._pour(k)
+
+
 def add_counts(tables: list[np.ndarray], tree: Tree, words: Words) -> None:
-    """Adds what some texts show to the tables of counts: decisions in each context, and in the last table bytes of words outside the tree and white space."""
-    sequence = Sequence(tree, words)
-    steps, place = tree.steps(sequence.symbol)
-    cell = tree.hash.take(place) << 1 | tree.bit.take(place)
-    for counts, keys in zip(tables, sequence.contexts, strict=False):
-        np.add.at(counts, np.repeat(keys << 1, steps) ^ cell, np.uint32(1))
-    _, places = spelled(words, np.flatnonzero(~sequence.inside))
-    start, end, _, before = words.gaps()
-    plain = words.plain(start, end)
-    size = np.where(plain, 0, end - start)
-    white = words.raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-    for found in (*places, _GAPS + 2 * before + plain, _WHITE + white.astype(np.int64), np.full((~plain).sum(), _WHITE)):
-        np.add.at(tables[-1], found, np.uint32(1))
+    """Adds what some texts show to the tables of counts."""
+    tally = Tally(tables, tree)
+    tally.add(words)
+    tally.close()
 
 
 def cells_of(counts: np.ndarray) -> np.ndarray:
@@ -532,12 +635,15 @@ def count_tables(docs: DataFrame, tree: Tree, text_size: int) -> tuple[list[np.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         halves, other = [[np.zeros(length, np.uint32) for _ in range(CONTEXTS)] for _ in range(2)], np.zeros(length, np.uint32)
+        tallies = [Tally([*tables, other], shared.value) for tables in halves]
         for batch in slices(batches, "text", SCORE_BYTES):
             half = np.asarray(batch.column("half"))
             texts = [t.lower() for t in text_bytes(batch.column("text"))]
-            for h, tables in enumerate(halves):
+            for h, tally in enumerate(tallies):
                 if mine := [texts[i] for i in np.flatnonzero(half == h)]:
-                    add_counts([*tables, other], shared.value, Words(mine))
+                    tally.add(Words(mine))
+        for tally in tallies:
+            tally.close()
         for h, tables in enumerate(halves):
             for k, counts in enumerate(tables):
                 yield _sliced(k, h, counts)
@@ -607,6 +713,16 @@ class Exact:
         return -np.log2(np.where(n > 0, n, self.once[cls]) / every)
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, ascending; a place where each is (np.unique finds the first, which takes a slower sort); and of every hash its number among them."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    opens = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), ordered[1:] != ordered[:-1]]))
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.repeat(np.arange(len(opens)), np.diff(opens, append=len(order)))
+    return ordered[opens], order[opens], inverse
+
+
 def vocabulary(known: list[tuple[np.ndarray, np.ndarray]], most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """The hashes, ascending, and counts of the most frequent words."""
     words = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in known)])
@@ -633,7 +749,7 @@ def score_texts(docs: DataFrame, train: F.Column, block_bytes: int = BLOCK_BYTES
         out: list[list] = [[], [], [], [], []]
         if rows.num_rows:
             words = Words(_block_texts(rows))
-            known, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+            known, first, inverse = distinct(words.hash)
             cls = words.cls[first].astype(np.uint8)
             learned = np.bincount(inverse[np.asarray(rows.column("_train"))[words.doc]], minlength=len(known))
             cuts = np.searchsorted((known >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32), np.arange(groups + 1))
@@ -648,7 +764,7 @@ def score_texts(docs: DataFrame, train: F.Column, block_bytes: int = BLOCK_BYTES
     def meet(rows: pa.Table) -> pa.Table:
         """Replies to the blocks, and one row (block -1) of what the group tells the driver: frequent words and sums by class."""
         parts = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
-        known, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        known, first, inverse = distinct(np.concatenate(parts))
         cls = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8) for x in rows.column("classes").to_pylist()])[first].astype(np.int64)
         total = np.bincount(inverse, np.concatenate([_counted(x) for x in rows.column("n").to_pylist()])).astype(np.int64)
         stops = np.cumsum([len(x) for x in parts])
@@ -690,7 +806,7 @@ def score_texts(docs: DataFrame, train: F.Column, block_bytes: int = BLOCK_BYTES
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         n, seen, base, bits = np.ones(len(texts), np.int64), np.full(len(texts), int(ends > 0)), np.full(len(texts), math.log10(ends + 0.1)), np.zeros(len(texts))
         runs = [(a, b, Words(texts[a:b])) for a, b in _runs(size, SCORE_BYTES)]
-        _, every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w.hash for _, _, w in runs)]), return_inverse=True)
+        every = distinct(np.concatenate([np.zeros(0, np.uint64), *(w.hash for _, _, w in runs)]))[2]
         done = 0
         for a, b, words in runs:
             count = total[every[done : done + len(words.hash)]]
@@ -702,7 +818,7 @@ def score_texts(docs: DataFrame, train: F.Column, block_bytes: int = BLOCK_BYTES
             outside = np.flatnonzero(~inside)
             cost += spelling.gap_bits(words) + np.bincount(words.doc[outside], exact.other_bits(words, outside, count), b - a)
             unknown = outside[count[outside] == 0]
-            _, first, inverse = np.unique(words.hash[unknown], return_index=True, return_inverse=True)
+            _, first, inverse = distinct(words.hash[unknown])
             bits[a:b] = cost + np.bincount(words.doc[unknown], spelling.bits(words, unknown[first])[inverse], b - a)
         base -= n * exact.below
         new = (n, seen, np.full(len(texts), exact.tokens, np.int64), base, size, -bits * math.log10(2), bits / np.maximum(1, size))
